@@ -85,6 +85,11 @@ def _number_of(text: str) -> str:
     return f"coalesce(try_cast(nullif(regexp_extract(ltrim({text}), {PREFIX}), '') AS DOUBLE), 0)"
 
 
+def _half_up(value: str, digits: int) -> str:
+    """Round the shortest decimal form, ties away from zero."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,16)), {digits}) AS DOUBLE)"
+
+
 def _clean(strip: bool = False) -> str:
     count = lambda c: _number_of(f"replace({c}, ',', '')" if strip else c)
     return f"""
@@ -111,7 +116,7 @@ cleaned AS (
     CASE WHEN is_service THEN CASE WHEN s_count > 0 THEN s_total / s_count END
       WHEN is_held THEN unit_price / g_count
       WHEN total_value > 0
-        THEN CAST(round(CAST(total_value / g_count AS DECIMAL(28,10)), 4) AS DOUBLE)
+        THEN {_half_up("total_value / g_count", 4)}
     END AS unit_price,
     is_held
   FROM parts
@@ -214,14 +219,10 @@ m AS (
 """
 
 
-def _tenth(value: str) -> str:
-    return f"CAST(round(CAST({value} AS DECIMAL(28,10)), 1) AS DOUBLE)"
-
-
 ANOMALY = f"""
   contract_number, ministry, department, product_name, quantity, total_value, year, month,
-  buying_mode, contract_count, {_tenth("unit_price / median_price")} AS price_ratio,
-  {_tenth("(unit_price - median_price) / median_price * 100")} AS pct_above_median
+  buying_mode, contract_count, {_half_up("unit_price / median_price", 1)} AS price_ratio,
+  {_half_up("(unit_price - median_price) / median_price * 100", 1)} AS pct_above_median
 """
 
 # -- windows -------------------------------------------------------------------
@@ -320,7 +321,7 @@ html || CASE page_id % 3
 
 PRICE_TEXT = f"""
 CASE l_linenumber WHEN 1 THEN '₹ 1,' || {MONEY} WHEN 2 THEN 'Rs. ' || {MONEY}
-  WHEN 3 THEN {MONEY} || 'e5' WHEN 4 THEN '$ ' || {MONEY} WHEN 5 THEN '-'
+  WHEN 3 THEN {MONEY} || 'e5' WHEN 4 THEN '$' || chr(160) || {MONEY} WHEN 5 THEN '-'
   WHEN 6 THEN 'INR ' || {MONEY} ELSE {MONEY} END
 """
 PREFIX_TEXT = f"""
@@ -331,7 +332,7 @@ CASE l_linenumber WHEN 1 THEN {COUNT} || 'abc' WHEN 2 THEN {COUNT} || ',200'
 
 
 def _price(text: str) -> str:
-    return rf"try_cast(nullif(regexp_replace({text}, '[₹$,\s]|[A-Za-z]', '', 'g'), '') AS DOUBLE)"
+    return rf"try_cast(nullif(regexp_replace({text}, '[₹$,\s\x{{00A0}}]|[A-Za-z]', '', 'g'), '') AS DOUBLE)"
 
 
 FIRST_OF = """
@@ -373,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
         "run_metrics": f"WITH {SCORED} {_metrics('value')}",
         "clean_contracts": f"""WITH {_clean()}
             SELECT contract_number, org_type, contract_date, year, month, hour, contract_type,
-              total_value, quantity, round(unit_price, 6) AS unit_price, product_name,
+              total_value, quantity, {_half_up("unit_price", 6)} AS unit_price, product_name,
               CASE WHEN contract_type = 'goods' THEN model END AS model
             FROM cleaned WHERE total_value > 0""",
         "classified_contracts": f"""WITH {_clean(strip=True)}
@@ -418,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT product_name, count(*) AS contracts, count(DISTINCT ministry) AS ministries,
               round(min(unit_price), 6) AS min_price, round(max(unit_price), 6) AS max_price,
               round(avg(unit_price), 6) AS avg_price,
-              {_tenth("max(unit_price) / avg(unit_price)")} AS max_vs_avg
+              {_half_up("max(unit_price) / avg(unit_price)", 1)} AS max_vs_avg
             FROM fx WHERE contract_type = 'goods' AND quantity > 1
               AND unit_price BETWEEN 10 AND 500000
             GROUP BY product_name HAVING contracts >= 10 AND ministries >= 3
@@ -451,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
             analysis AS (SELECT * FROM cleaned WHERE total_value > 0 AND {NOT_JUNK}),
             {_medians("analysis")}
             SELECT contract_number, product_name, total_value, contract_count,
-              {_tenth("unit_price / median_price")} AS price_ratio
+              {_half_up("unit_price / median_price", 1)} AS price_ratio
             FROM analysis JOIN m USING (product_name)
             WHERE unit_price > median_price * 5 AND quantity > 1""",
         "top_ministries": f"""WITH {FX} SELECT ministry, count(*) AS n,

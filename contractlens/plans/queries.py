@@ -173,7 +173,7 @@ def price_clean(spark, sf):
         F.when(line == 1, F.concat(F.lit("₹ 1,"), money))
         .when(line == 2, F.concat(F.lit("Rs. "), money))
         .when(line == 3, F.concat(money, F.lit("e5")))
-        .when(line == 4, F.concat(F.lit("$ "), money))
+        .when(line == 4, F.concat(F.lit("$\u00a0"), money))
         .when(line == 5, "-")
         .when(line == 6, F.concat(F.lit("INR "), money))
         .otherwise(money)
