@@ -14,16 +14,15 @@ MINUTE = 60_000_000  # microseconds
 
 # Text patterns
 _NUMERIC_PREFIX = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_MONEY_NOISE = r"(?U)[₹$,\s]|[A-Za-z]"
+# white space in full, as the (?U) classes are slow
+_SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_MONEY_NOISE = rf"[₹$,A-Za-z{_SPACE}]+"
 _CURRENCY_WORD = r"(?i)^\s*(?:rs|inr)\b\.?"
 _HIDDEN_MARKUP = (
     r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 )
-_TAG = r"(?s)<[^>]*>"
-_BLOCK_TAG = (
-    r"""(?i)<[a-z][^>]*\sclass\s*=\s*["'][^"'>]*"""
-    r"""(border[^"'>]*block|block[^"'>]*border)"""
-)
+_TAG = r"<[^>]*>"
+_BLOCK_TAG = r"""(?i)\sclass\s*=\s*["'](?:[^"'>]*border[^"'>]*block|[^"'>]*block[^"'>]*border)"""
 
 
 def starts_with_digit(text: Column) -> Column:
@@ -33,8 +32,7 @@ def starts_with_digit(text: Column) -> Column:
 def numeric_prefix(text: Column) -> Column:
     """Longest numeric prefix as a double; 0 when there is none."""
     prefix = F.regexp_extract(F.ltrim(text), _NUMERIC_PREFIX, 0)
-    number = F.nullif(prefix, F.lit("")).try_cast("double")
-    return F.when(text.isNotNull(), F.coalesce(number, F.lit(0.0)))
+    return F.when(text.isNotNull(), F.coalesce(prefix.try_cast("double"), F.lit(0.0)))
 
 
 def clean_price(text: Column, strict: bool = False) -> Column:
@@ -46,15 +44,23 @@ def clean_price(text: Column, strict: bool = False) -> Column:
     """
     if strict:
         text = F.regexp_replace(text, _CURRENCY_WORD, "")
-    digits = F.regexp_replace(text, _MONEY_NOISE, "")
-    return F.nullif(digits, F.lit("")).try_cast("double")
+    return F.regexp_replace(text, _MONEY_NOISE, "").try_cast("double")
+
 
+def parse_when(text: Column, formats: dict[str, str] | None = None) -> Column:
+    """Text to a timestamp by the first format that fits, else NULL.
 
-def parse_when(text: Column, formats: list[str] | None = None) -> Column:
-    """Text to a timestamp by the first format that fits, else NULL."""
+    A format is tried only on text of its shape: a failed try costs far more
+    than a pattern.  Put the result in a column before taking parts of it.
+    """
     formats = formats or values.DATE_FORMATS
     trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
+    return F.coalesce(
+        *[
+            F.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(f)))
+            for f, shape in formats.items()
+        ]
+    )
 
 
 def missing_to_null(text: Column) -> Column:
@@ -92,19 +98,19 @@ def micros(when: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Strip any Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
 def strip_hidden(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN_MARKUP, " ")
 
 
-def page_text(html: Column) -> Column:
-    """Visible page text, lower case, white space runs made one space."""
-    bare = F.regexp_replace(strip_hidden(html), _TAG, " ")
+def visible_text(shown: Column) -> Column:
+    """Text of markup without hidden parts: lower case, single spaces."""
+    bare = F.regexp_replace(shown, _TAG, " ")
     spaced = F.replace(bare, F.lit("&nbsp;"), F.lit(" "))
-    return F.lower(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    return F.lower(F.regexp_replace(spaced, rf"[{_SPACE}]+", " "))
 
 
-def has_result_block(html: Column) -> Column:
-    return strip_hidden(html).rlike(_BLOCK_TAG)
+def has_result_block(shown: Column) -> Column:
+    return shown.rlike(_BLOCK_TAG)

@@ -21,13 +21,20 @@ def fix_org_type(org_type: Column) -> Column:
     return F.when(leaked, F.lit("Unknown")).otherwise(org_type)
 
 
-def calendar_parts(contract_date: Column) -> dict[str, Column]:
-    when = F.when(contract_date != "", parse_when(contract_date))
-    return {
-        "contract_year": F.year(when),
-        "contract_month": F.month(when),
-        "contract_hour": F.hour(when),
-    }
+def with_calendar_parts(df: DataFrame, contract_date: str = "contract_date") -> DataFrame:
+    """Add ``contract_year``, ``contract_month`` and ``contract_hour``."""
+    text = F.col(contract_date)
+    return (
+        df.withColumn("_when", F.when(text != "", parse_when(text)))
+        .withColumns(
+            {
+                "contract_year": F.year("_when"),
+                "contract_month": F.month("_when"),
+                "contract_hour": F.hour("_when"),
+            }
+        )
+        .drop("_when")
+    )
 
 
 def classify_and_clean(
@@ -48,29 +55,34 @@ def classify_and_clean(
         plain = F.replace(text, F.lit(","), F.lit("")) if strip_commas else text
         return F.when(starts_with_digit(text), numeric_prefix(plain))
 
-    service = F.startswith(quantity, F.lit("₹"))
-    held = total.isNull() & unit.isNotNull() & starts_with_digit(quantity)
-    normal = total > 0
-
-    service_total = numeric_prefix(F.translate(F.trim(quantity), "₹,", ""))
-    service_count = count_in(model)
-    goods_count = F.when(count_in(quantity) > 0, count_in(quantity))
-    service_unit = F.when(service_count > 0, ratio(service_total, service_count))
+    # Step by step, so that each number is read from its text once.
+    read = raw.withColumns(
+        {
+            "_branch": F.when(F.startswith(quantity, F.lit("₹")), "service")
+            .when(total.isNull() & unit.isNotNull() & starts_with_digit(quantity), "held")
+            .when(total > 0, "normal"),
+            "_count": count_in(quantity),
+            "_service_count": count_in(model),
+        }
+    ).withColumn("_count", F.when(F.col("_count") > 0, F.col("_count")))
 
-    return raw.withColumns(
+    branch = F.col("_branch")
+    service, held, normal = branch == "service", branch == "held", branch == "normal"
+    paid = numeric_prefix(F.translate(F.trim(quantity), "₹,", ""))
+    clean = read.withColumns(
         {
             "contract_type": F.when(service, "service").otherwise("goods"),
-            "total_value_clean": F.when(service, service_total)
-            .when(held, unit)
-            .when(normal, total),
-            "quantity_clean": F.when(service, service_count).when(held | normal, goods_count),
-            "unit_price_clean": F.when(service, service_unit)
-            .when(held, ratio(unit, goods_count))
-            .when(normal, F.round(ratio(total, goods_count), 4)),
+            "total_value_clean": F.when(service, paid).when(held, unit).when(normal, total),
+            "quantity_clean": F.when(service, F.col("_service_count")).when(
+                held | normal, F.col("_count")
+            ),
             "org_type": fix_org_type(F.col("org_type")),
-            **calendar_parts(F.col("contract_date")),
         }
     )
+    each = ratio(F.col("total_value_clean"), F.col("quantity_clean"))
+    unit_price = F.when(normal, F.round(each, 4)).when(F.col("quantity_clean") > 0, each)
+    priced = clean.withColumn("unit_price_clean", unit_price)
+    return with_calendar_parts(priced).drop("_branch", "_count", "_service_count")
 
 
 def contracts_clean(raw: DataFrame, strip_commas: bool = False) -> DataFrame:
@@ -103,9 +115,8 @@ def register_views(raw: DataFrame) -> None:
 
 
 def date_preview(raw: DataFrame, order: str = "id", n: int = 5) -> DataFrame:
-    parts = calendar_parts(F.col("contract_date"))
-    shown = [c.alias(name) for name, c in parts.items()]
-    return raw.orderBy(order).limit(n).select(order, "contract_date", *shown)
+    first = raw.select(order, "contract_date").orderBy(order).limit(n)
+    return with_calendar_parts(first)
 
 
 def unit_price_preview(raw: DataFrame, order: str = "id", n: int = 10) -> DataFrame:

@@ -77,3 +77,13 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner
     if measured_bytes(stats) <= BROADCAST_BYTES:
         stats = F.broadcast(stats)
     return rows.join(stats, keys, how)
+
+
+def spread_small(df: DataFrame, key: str, rows_per_task: int = 2_500, most: int = 1_000) -> DataFrame:
+    """Spread the rows of a small file over tasks before costly work on them.
+
+    Tables beyond ``most`` tasks of that size have splits enough and are left
+    as they are read.
+    """
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(tasks, key) if 1 < tasks <= most else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlens.operators.scale import durable, spread_small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +66,11 @@ def date_text(when: Column, clock: Column) -> Column:
 
 
 def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a stored table of raw contracts, as cleaning reads it."""
+    return durable(_raw_text(spark, sf_dir))
+
+
+def _raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as they would come from pages: text, swapped columns, gaps."""
     line = F.col("l_linenumber")
     money, count = money_text("l_extendedprice"), F.col("l_quantity").cast("int").cast("string")
@@ -219,7 +226,8 @@ def render_pages(details: DataFrame) -> DataFrame:
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_pages(order_details(table(spark, sf_dir, "orders"), spark, sf_dir))
+    orders = spread_small(table(spark, sf_dir, "orders"), "o_orderkey")
+    return render_pages(order_details(orders, spark, sf_dir))
 
 
 def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +243,7 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("from_date"),
         day.alias("to_date"),
         outcome.alias("outcome"),
+        F.when(found, F.lit(0)).alias("block_no"),
         F.concat(F.lit("GEMC-"), F.col("o_custkey")).alias("contract_number"),
         F.col("o_orderdate").cast("timestamp").alias("scraped_at"),
     )

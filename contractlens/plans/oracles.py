@@ -301,8 +301,7 @@ def _outcome(html: str) -> str:
     bare = rf"replace(regexp_replace({seen}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ')"
     text = rf"lower(regexp_replace({bare}, '\s+', ' ', 'g'))"
     block = (
-        r"""'(?i)<[a-z][^>]*\sclass\s*=\s*["''][^"''>]*"""
-        r"""(border[^"''>]*block|block[^"''>]*border)'"""
+        r"""'(?i)\sclass\s*=\s*["''](?:[^"''>]*border[^"''>]*block|[^"''>]*block[^"''>]*border)'"""
     )
     return f"""CASE WHEN regexp_matches({seen}, {block}) THEN 'results'
   WHEN {_any_of(text, values.NO_RESULT_PHRASES)} THEN 'no_results'

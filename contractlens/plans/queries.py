@@ -134,10 +134,7 @@ def held_total_check(spark, sf):
 def date_parts(spark, sf):
     text = cat.date_text(F.col("ts"), F.date_format("ts", "HH:mm"))
     events = cat.table(spark, sf, "events").select("event_id", text.alias("contract_date"))
-    return events.select(
-        "event_id", "contract_date",
-        *[c.alias(n) for n, c in cleaning.calendar_parts(F.col("contract_date")).items()],
-    )
+    return cleaning.with_calendar_parts(events)
 
 
 def date_formats(spark, sf):
@@ -314,8 +311,7 @@ def _run(spark, sf, run="1"):
     visited = cat.order_outcomes(spark, sf)
     if run == "2":
         visited = visited.filter(F.col("outcome") != "results")
-    found = visited.filter(F.col("outcome") == "results")
-    notes = P.window_notes(visited, found)
+    notes = P.window_notes(visited)
     late = F.make_dt_interval(F.lit(int(run)))
     return notes.withColumns(
         {"completed_at": F.col("from_date").cast("timestamp") + late, "run": F.lit(run)}
@@ -391,12 +387,9 @@ def page_outcome(spark, sf):
         .when(F.col("page_id") % 3 == 1, "<p>Invalid CAPTCHA</p><script>no data found</script>")
         .otherwise('<div class="border block"></div><p>no data found</p>')
     )
-    html = F.col("html")
-    return cat.table(spark, sf, "pages").select(
-        "page_id",
-        P.page_outcome(html).alias("outcome"),
-        P.page_outcome(F.concat(html, notice)).alias("outcome_with_notice"),
-    )
+    pages = P.with_outcome(cat.table(spark, sf, "pages"))
+    noticed = pages.withColumn("html", F.concat("html", notice))
+    return P.with_outcome(noticed, name="outcome_with_notice").drop("html", "url")
 
 
 def stream_ingest(spark, sf):
@@ -407,7 +400,8 @@ def stream_ingest(spark, sf):
     pages = cat.render_pages(cat.order_details(orders, spark, sf))
     root = fresh_path(spark, "stream")
     store = ingest.Store(root)
-    ingest.start_ingest(pages, store, f"{root}/_progress").awaitTermination()
+    tasks = spark.sparkContext.defaultParallelism
+    ingest.start_ingest(pages, store, f"{root}/_progress", tasks=tasks).awaitTermination()
     return spark.read.parquet(store.contracts).select(*CONTRACT)
 
 

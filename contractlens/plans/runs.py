@@ -51,9 +51,11 @@ def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id") ->
     """CSV of clean contracts to ``hhi_by_ministry``, ``scored``,
     ``flagged_anomalies`` and ``run_metrics`` under ``out``.
 
-    The scored table is written once; review list and figures read it.
+    The text is read once and kept as a typed table, of which each step reads
+    its columns.  The scored table is written once; review list and figures
+    read it.
     """
-    contracts = read_contracts_csv(spark, path)
+    contracts = write_table(read_contracts_csv(spark, path), f"{out}/contracts")
     hhi = compute_hhi(contracts, "ministry", "brand")
     write_csv(hhi, f"{out}/hhi_by_ministry")
 

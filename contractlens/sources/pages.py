@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from contractlens import values
 from contractlens.functions.scalars import (
-    clean_price, contains_any, has_result_block, page_text, strip_space,
+    clean_price, contains_any, has_result_block, strip_hidden, strip_space, visible_text,
 )
 from contractlens.operators.dedup import first_per_key, not_seen
 from contractlens.sources.blocks import parse_page
@@ -35,10 +35,11 @@ _ARROW_BLOCK = {
 }
 
 
-def blocks_of(pages: DataFrame, html: str = "html") -> DataFrame:
+def blocks_of(pages: DataFrame, html: str = "html", outer: bool = False) -> DataFrame:
     """One row per contract block, with the other page columns kept.
 
-    Pages are independent: no shuffle, Arrow batches in and out.
+    ``outer`` also keeps a page without blocks, as a row without
+    ``block_no``.  Pages are independent: no shuffle, Arrow in and out.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in kept]
@@ -47,9 +48,10 @@ def blocks_of(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             source, blocks = [], []
             for i, text in enumerate(batch.column(html).to_pylist()):
-                for no, block in enumerate(parse_page(text)):
-                    source.append(i)
-                    blocks.append({**block, "block_no": no})
+                found = [{**b, "block_no": no} for no, b in enumerate(parse_page(text))]
+                found = found or [{}] * outer
+                source.extend([i] * len(found))
+                blocks.extend(found)
             rows = pa.array(source, pa.int32())
             columns = [batch.column(n).take(rows) for n in names]
             columns += [
@@ -76,10 +78,13 @@ def _status(header: Column) -> Column:
     )
 
 
-def contract_lines(pages: DataFrame, number_pattern: str = values.NUMBER_PATTERN) -> DataFrame:
+def contract_lines(
+    pages: DataFrame, number_pattern: str = values.NUMBER_PATTERN, outer: bool = False
+) -> DataFrame:
     """All product lines of all blocks, typed, with ``line_no`` from 0.
 
-    A block without product rows gives one line with empty cells.
+    A block without product rows gives one line with empty cells, and with
+    ``outer`` a page without blocks gives one line without ``block_no``.
     """
     body_total = F.regexp_extract("body", values.TOTAL_PATTERN, 1)
     total = F.coalesce(clean_price(_after_label(values.TOTAL_LABEL)), clean_price(body_total))
@@ -87,7 +92,7 @@ def contract_lines(pages: DataFrame, number_pattern: str = values.NUMBER_PATTERN
     blank = F.array(F.array().cast("array<string>"))
     page = [c for c in pages.columns if c != "html"]
 
-    blocks = blocks_of(pages).withColumns(
+    blocks = blocks_of(pages, outer=outer).withColumns(
         {
             "contract_number": F.regexp_extract("header", number_pattern, 1),
             "contract_status": _status(F.col("header")),
@@ -121,10 +126,12 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(
         F.coalesce(F.col("contract_number"), F.lit("")) == "", F.lit("no contract number")
     )
-    return lines.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    found = lines.filter(F.col("block_no").isNotNull())
+    return found.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def accepted_lines(lines: DataFrame) -> DataFrame:
+    """Lines with a contract number and no read error."""
     return lines.filter(F.col("error").isNull() & (F.col("contract_number") != ""))
 
 
@@ -169,39 +176,42 @@ def first_lines(
     return first.withColumn("id", F.xxhash64("contract_number", "line_no"))
 
 
-def page_outcome(html: Column) -> Column:
-    """What a result page shows; the first that fits wins."""
-    text = page_text(html)
-    return (
-        F.when(has_result_block(html), F.lit("results"))
-        .when(contains_any(text, values.NO_RESULT_PHRASES), F.lit("no_results"))
-        .when(contains_any(text, values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
+def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") -> DataFrame:
+    """Add what a result page shows; the first that fits wins.
+
+    The text is a column of its own, so it is worked out once per page.
+    """
+    outcome = (
+        F.when(has_result_block(F.col("_shown")), F.lit("results"))
+        .when(contains_any(F.col("_text"), values.NO_RESULT_PHRASES), F.lit("no_results"))
+        .when(contains_any(F.col("_text"), values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
         .otherwise(F.lit("unknown"))
     )
+    return (
+        pages.withColumn("_shown", strip_hidden(F.col(html)))
+        .withColumn("_text", visible_text(F.col("_shown")))
+        .withColumn(name, outcome)
+        .drop("_shown", "_text")
+    )
 
 
-def window_notes(pages: DataFrame, lines: DataFrame) -> DataFrame:
+def window_notes(visits: DataFrame) -> DataFrame:
     """Per date window: contracts and rows found, and how it ended.
 
-    ``pages`` has ``from_date``, ``to_date`` and ``outcome``; ``lines`` has
-    the same window columns.
+    ``visits`` has one row per line found, and one without ``block_no`` for
+    each page that shows no contract, with ``from_date``, ``to_date``,
+    ``outcome`` and ``contract_number``.  The counts combine on the map side.
     """
-    window = ["from_date", "to_date"]
-    shown = pages.groupBy(*window).agg(
-        F.max((F.col("outcome") == "no_results").cast("int")).alias("_empty")
-    )
-    number = F.nullif(F.col("contract_number"), F.lit(""))
-    found = lines.groupBy(*window).agg(
-        F.count_distinct(number).alias("contracts"), F.count(F.lit(1)).alias("rows")
+    line = F.col("block_no").isNotNull()
+    number = F.when(line, F.nullif(F.col("contract_number"), F.lit("")))
+    found = visits.groupBy("from_date", "to_date").agg(
+        F.count_distinct(number).alias("contracts"),
+        F.count_if(line).alias("rows"),
+        F.count_if(F.col("outcome") == "no_results").alias("_empty"),
     )
     note = (
         F.when(F.col("rows") > 0, "normal")
-        .when(F.col("_empty") == 1, "zero_confirmed")
+        .when(F.col("_empty") > 0, "zero_confirmed")
         .otherwise("zero_assumed")
     )
-    counts = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("contracts", "rows")}
-    return (
-        shown.join(found, window, "left")
-        .withColumns(counts)
-        .select(*window, "contracts", "rows", note.alias("note"))
-    )
+    return found.withColumn("note", note).drop("_empty")

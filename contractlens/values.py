@@ -67,16 +67,17 @@ MISSING_TOKENS = [
 # Date formats, tried in order (day first wins)
 # --------------------------------------------------------------------------
 
-DATE_FORMATS = [
-    "d/M/yyyy H:mm",
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "yyyy-M-d",
-    "M/d/yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyy-M-d H:mm:ss",
-]
+# each with the shape a text must have before it is tried
+DATE_FORMATS = {
+    "d/M/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4}$",
+    "yyyy-M-d H:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+}
 
 # --------------------------------------------------------------------------
 # Page extraction
