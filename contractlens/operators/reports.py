@@ -182,24 +182,3 @@ def value_range(contracts: DataFrame) -> DataFrame:
 
 def row_count(contracts: DataFrame) -> DataFrame:
     return contracts.agg(F.count(F.lit(1)).alias("n"))
-
-
-def report_lines(metrics: DataFrame) -> DataFrame:
-    """Run figures as text, for display only."""
-    return metrics.select(
-        F.concat_ws(
-            "\n",
-            F.format_string(
-                "%,d contracts, %s Cr total value", "contracts",
-                F.format_number("total_crore", 0),
-            ),
-            F.format_string(
-                "price outliers: %,d (%.2f%%)", "price_flagged", F.col("price_rate") * 100
-            ),
-            F.format_string(
-                "timing clusters: %,d (%.2f%%)", "timing_flagged", F.col("timing_rate") * 100
-            ),
-            F.format_string("by at least one: %,d", "flagged_any"),
-            F.format_string("by both: %,d", "flagged_both"),
-        ).alias("report")
-    )
