@@ -311,11 +311,9 @@ def _run(spark, sf, run="1"):
     visited = cat.order_outcomes(spark, sf)
     if run == "2":
         visited = visited.filter(F.col("outcome") != "results")
-    notes = P.window_notes(visited)
+    notes = P.window_notes(P.sightings(visited))
     late = F.make_dt_interval(F.lit(int(run)))
-    return notes.withColumns(
-        {"completed_at": F.col("from_date").cast("timestamp") + late, "run": F.lit(run)}
-    )
+    return notes.withColumn("completed_at", F.col("from_date").cast("timestamp") + late)
 
 
 def window_note(spark, sf):

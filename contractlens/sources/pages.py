@@ -195,19 +195,31 @@ def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") ->
     )
 
 
-def window_notes(visits: DataFrame) -> DataFrame:
-    """Per date window: contracts and rows found, and how it ended.
+def sightings(visits: DataFrame) -> DataFrame:
+    """What was seen per date window and contract number.
 
     ``visits`` has one row per line found, and one without ``block_no`` for
     each page that shows no contract, with ``from_date``, ``to_date``,
-    ``outcome`` and ``contract_number``.  The counts combine on the map side.
+    ``outcome`` and ``contract_number``.
     """
     line = F.col("block_no").isNotNull()
     number = F.when(line, F.nullif(F.col("contract_number"), F.lit("")))
-    found = visits.groupBy("from_date", "to_date").agg(
-        F.count_distinct(number).alias("contracts"),
+    return visits.groupBy("from_date", "to_date", number.alias("contract_number")).agg(
         F.count_if(line).alias("rows"),
-        F.count_if(F.col("outcome") == "no_results").alias("_empty"),
+        F.count_if(F.col("outcome") == "no_results").alias("empty_pages"),
+    )
+
+
+def window_notes(seen: DataFrame) -> DataFrame:
+    """Per date window: contracts and rows found, and how it ended.
+
+    ``seen`` are the sightings of one or more batches; a contract that is in
+    several of them counts once.
+    """
+    found = seen.groupBy("from_date", "to_date").agg(
+        F.count_distinct("contract_number").alias("contracts"),
+        F.sum("rows").alias("rows"),
+        F.sum("empty_pages").alias("_empty"),
     )
     note = (
         F.when(F.col("rows") > 0, "normal")

@@ -123,11 +123,8 @@ def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], or
 # Ledger of date windows
 # --------------------------------------------------------------------------
 
-LEDGER_FILE = T.StructType([*values.LEDGER.fields, T.StructField("run", T.StringType())])
-
-
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, LEDGER_FILE)
+    return read_or_empty(spark, path, values.LEDGER).drop("batch")
 
 
 def migrate_ledger(old: DataFrame) -> DataFrame:
@@ -135,29 +132,13 @@ def migrate_ledger(old: DataFrame) -> DataFrame:
 
     A missing ``note`` reads as ``normal``.
     """
-    known = {"note": F.lit("normal"), "rows": F.col("contracts"), "run": F.lit("0")}
+    known = {"note": F.lit("normal"), "rows": F.col("contracts")}
     for name, fill in known.items():
         if name not in old.columns:
             old = old.withColumn(name, fill)
-    return old.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER_FILE.fields])
+    return old.select(*[F.col(f.name).cast(f.dataType) for f in values.LEDGER.fields])
 
 
 def ledger_latest(ledger: DataFrame) -> DataFrame:
-    """One row per window: the last run replaces earlier ones.
-
-    The batches of one run add up, as a window may be spread over several.
-    """
-    window = ["from_date", "to_date"]
-    note = (
-        F.when(F.bool_or(F.col("note") == "normal"), "normal")
-        .when(F.bool_or(F.col("note") == "zero_confirmed"), "zero_confirmed")
-        .otherwise("zero_assumed")
-    )
-    runs = ledger.groupBy(*window, "run").agg(
-        F.sum("contracts").alias("contracts"),
-        F.sum("rows").alias("rows"),
-        F.max("completed_at").alias("completed_at"),
-        note.alias("note"),
-    )
-    last = latest_per_key(runs, window, ["completed_at", "run"])
-    return last.select(*[f.name for f in values.LEDGER.fields])
+    """One row per window: a later entry replaces an earlier one."""
+    return latest_per_key(ledger, ["from_date", "to_date"], ["completed_at"])
