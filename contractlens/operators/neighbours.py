@@ -32,12 +32,13 @@ def with_neighbours(
     """
     look = F.struct(*[F.col(c) for c in seen])
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = durable(sizes.filter(F.col("_size") > max_group))
+    hot = sizes.filter(F.col("_size") > max_group)
     heavy = hot.agg(F.sum("_size").alias("s")).first()["s"] or 0
     if heavy == 0:
         return _lag_lead(df, keys, order, look)
 
     # There are at most rows / max_group hot keys.
+    hot = durable(hot.select(*keys))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     big = df.alias("r").join(hot.alias("h"), same, "left_semi")
     rest = df.alias("r").join(hot.alias("h"), same, "left_anti")

@@ -78,15 +78,18 @@ def product_benchmark(
 
 def average_outliers(
     analysis: DataFrame,
-    products: list[str] | None = values.SUSPECT_PRODUCTS,
+    products: list[str] | DataFrame | None = values.SUSPECT_PRODUCTS,
     factor: float = 5,
 ) -> DataFrame:
     """Contracts dearer than ``factor`` times the average of their product.
 
     The average is over all contracts of the product.  ``products=None``
-    looks at every product.
+    looks at every product; a long list comes as a frame of names.
     """
-    if products is not None:
+    if isinstance(products, DataFrame):
+        names = products.select("product_name").distinct()
+        analysis = attach(analysis, names, ["product_name"], "left_semi")
+    elif products is not None:
         analysis = analysis.filter(F.col("product_name").isin(products))
     average = analysis.groupBy("product_name").agg(F.avg("unit_price").alias("_avg"))
     return (

@@ -40,17 +40,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/contractlens/{name}-{uuid.uuid4().hex}"
 
 
+# folders written by ``durable`` in this process
+_steps: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written copy.
 
     What follows does not recompute the work above it, also not after an
-    executor is lost.
+    executor is lost.  ``drop_steps`` removes the copies after a run.
     """
     path = fresh_path(df.sparkSession, "step")
+    _steps.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_steps(spark: SparkSession) -> int:
+    """Remove the copies ``durable`` has written; frames built on them end."""
+    dropped = len(_steps)
+    while _steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df`` in memory, by one aggregate."""
     fixed = 8 * len(df.columns) + 16

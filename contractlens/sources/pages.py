@@ -14,7 +14,7 @@ from contractlens.functions.scalars import (
 from contractlens.operators.dedup import first_per_key, not_seen
 from contractlens.sources.blocks import parse_page
 
-_LABEL = T.StructType([T.StructField(n, T.StringType()) for n in ("raw", "bold", "line")])
+_LABEL = T.StructType([T.StructField(n, T.StringType()) for n in ("label", "bold", "line")])
 _BLOCK = [
     T.StructField("block_no", T.IntegerType()),
     T.StructField("header", T.StringType()),
@@ -28,7 +28,7 @@ _ARROW_BLOCK = {
     "block_no": pa.int32(),
     "header": pa.string(),
     "org_type": pa.string(),
-    "labels": pa.list_(pa.struct([(n, pa.string()) for n in ("raw", "bold", "line")])),
+    "labels": pa.list_(pa.struct([(n, pa.string()) for n in ("label", "bold", "line")])),
     "body": pa.string(),
     "cells": pa.list_(pa.list_(pa.string())),
     "error": pa.string(),
@@ -62,13 +62,28 @@ def blocks_of(pages: DataFrame, html: str = "html", outer: bool = False) -> Data
     return pages.mapInArrow(run, T.StructType([*kept, *_BLOCK]))
 
 
-def _after_label(label: str) -> Column:
-    """Text after the first bold element that holds the label, any case."""
-    has = lambda b: F.contains(F.lower(b["raw"]), F.lit(label.lower()))
-    hit = F.get(F.filter("labels", has), F.lit(0))
-    after = F.position(hit["bold"], hit["line"]) + F.length(hit["bold"])
-    rest = F.regexp_replace(F.substr(hit["line"], after), "^:+", "")
-    return F.coalesce(strip_space(rest), F.lit(""))
+def _with_labels(blocks: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Per label, the text after the first bold element that holds it.
+
+    The element is a column of its own, so each search runs once.
+    """
+
+    def first_with(label: str) -> Column:
+        wanted = F.lit(label.lower())
+        return F.get(F.filter("labels", lambda b: F.contains(b["label"], wanted)), F.lit(0))
+
+    hits = {f"_hit_{name}": first_with(label) for name, label in labels.items()}
+
+    def after(hit: Column) -> Column:
+        start = F.position(hit["bold"], hit["line"]) + F.length(hit["bold"])
+        rest = F.regexp_replace(F.substr(hit["line"], start), "^:+", "")
+        return F.coalesce(strip_space(rest), F.lit(""))
+
+    return (
+        blocks.withColumns(hits)
+        .withColumns({name: after(F.col(f"_hit_{name}")) for name in labels})
+        .drop(*hits, "labels")
+    )
 
 
 def _status(header: Column) -> Column:
@@ -86,18 +101,19 @@ def contract_lines(
     A block without product rows gives one line with empty cells, and with
     ``outer`` a page without blocks gives one line without ``block_no``.
     """
+    if "scraped_at" not in pages.columns:
+        pages = pages.withColumn("scraped_at", F.current_timestamp())
     body_total = F.regexp_extract("body", values.TOTAL_PATTERN, 1)
-    total = F.coalesce(clean_price(_after_label(values.TOTAL_LABEL)), clean_price(body_total))
-    fields = {name: _after_label(label) for name, label in values.LABELS.items()}
+    total = F.coalesce(clean_price(F.col("_total")), clean_price(body_total))
+    labels = {**values.LABELS, "_total": values.TOTAL_LABEL}
     blank = F.array(F.array().cast("array<string>"))
     page = [c for c in pages.columns if c != "html"]
 
-    blocks = blocks_of(pages, outer=outer).withColumns(
+    blocks = _with_labels(blocks_of(pages, outer=outer), labels).withColumns(
         {
             "contract_number": F.regexp_extract("header", number_pattern, 1),
             "contract_status": _status(F.col("header")),
             "total_value": total,
-            **fields,
         }
     )
     kept = [
@@ -176,22 +192,29 @@ def first_lines(
     return first.withColumn("id", F.xxhash64("contract_number", "line_no"))
 
 
+def as_contracts(rows: DataFrame) -> DataFrame:
+    """Extracted rows in the columns of the raw contract table."""
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in values.CONTRACTS.fields])
+
+
 def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") -> DataFrame:
     """Add what a result page shows; the first that fits wins.
 
-    The text is a column of its own, so it is worked out once per page.
+    The text is a column of its own, so it is worked out once, and only for
+    pages without results.
     """
     outcome = (
-        F.when(has_result_block(F.col("_shown")), F.lit("results"))
+        F.when(F.col("_block"), F.lit("results"))
         .when(contains_any(F.col("_text"), values.NO_RESULT_PHRASES), F.lit("no_results"))
         .when(contains_any(F.col("_text"), values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
         .otherwise(F.lit("unknown"))
     )
     return (
         pages.withColumn("_shown", strip_hidden(F.col(html)))
-        .withColumn("_text", visible_text(F.col("_shown")))
+        .withColumn("_block", has_result_block(F.col("_shown")))
+        .withColumn("_text", F.when(~F.col("_block"), visible_text(F.col("_shown"))))
         .withColumn(name, outcome)
-        .drop("_shown", "_text")
+        .drop("_shown", "_block", "_text")
     )
 
 

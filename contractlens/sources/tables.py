@@ -96,11 +96,22 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], with_batch)
 
 
-def write_batch(df: DataFrame, path: str, batch: str) -> int:
-    """Write one batch, replacing an earlier try of it; returns its row count."""
+def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    """Write an empty table of ``schema`` unless there is one at ``path``."""
+    try:
+        spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
+    except AnalysisException as problem:
+        if "PATH_ALREADY_EXISTS" not in str(problem):
+            raise
+        return False
+    return True
+
+
+def write_batch(df: DataFrame, path: str, batch: str) -> str:
+    """Write one batch, replacing an earlier try of it; returns its folder."""
     place = f"{path.rstrip('/')}/batch={batch}"
     df.write.mode("overwrite").parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place).count()
+    return place
 
 
 def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], order: list[str]) -> int:
@@ -116,7 +127,8 @@ def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], or
     if measured_bytes(asked) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     hits = old.filter(F.col("batch") != batch).select(*keys).join(asked, keys, "left_semi")
-    return write_batch(not_seen(fresh, hits, keys), path, batch)
+    place = write_batch(not_seen(fresh, hits, keys), path, batch)
+    return fresh.sparkSession.read.schema(fresh.schema).parquet(place).count()
 
 
 # --------------------------------------------------------------------------

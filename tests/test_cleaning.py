@@ -143,6 +143,8 @@ def test_average_outliers(spark):
     assert [r.contract_number for r in reports.average_outliers(df, None).collect()] == [10]
     assert reports.average_outliers(df).count() == 0
     assert reports.average_outliers(df, ["p"]).count() == 1
+    names = spark.createDataFrame([("p",), ("p",), ("q",)], "product_name string")
+    assert reports.average_outliers(df, names).count() == 1
 
 
 def test_benchmark_needs_ministries(spark):

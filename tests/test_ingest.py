@@ -1,11 +1,12 @@
 import datetime as dt
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from contractlens import values
 from contractlens.operators import coverage, dedup
-from contractlens.operators.scale import measured_bytes, spread_small
+from contractlens.operators.scale import drop_steps, durable, measured_bytes, spread_small
 from contractlens.plans.runs import run_analysis, run_pipeline
 from contractlens.sources import tables
 from contractlens.streaming import ingest
@@ -153,6 +154,13 @@ def test_missing_table_reads_as_empty(spark, tmp_path):
     assert tables.read_or_empty(spark, str(tmp_path / "none"), values.CONTRACTS).count() == 0
 
 
+def test_create_if_absent(spark, tmp_path):
+    path = str(tmp_path / "contracts")
+    assert tables.create_if_absent(spark, path, values.CONTRACTS)
+    assert not tables.create_if_absent(spark, path, values.CONTRACTS)
+    assert spark.read.parquet(path).schema.names == values.CONTRACTS.names
+
+
 # -- files and runs -----------------------------------------------------------------
 
 CSV = '''id,contract_number,ministry,org_name,brand,product_name,contract_date,total_value,unit_price,note
@@ -207,3 +215,11 @@ def test_size_helpers(spark):
     df = spark.createDataFrame([("abc", 1), (None, 2)], "s string, n int")
     assert measured_bytes(df) == 2 * 32 + 3 and measured_bytes(df.limit(0)) == 0
     assert spread_small(df, "n", rows_per_task=1).rdd.getNumPartitions() == 2
+
+
+def test_durable_steps_are_removed(spark):
+    kept = durable(spark.range(5))
+    (file,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    folder = pathlib.Path(file.removeprefix("file:").replace("//", "/"))
+    assert kept.count() == 5 and folder.exists()
+    assert drop_steps(spark) > 0 and not folder.exists()

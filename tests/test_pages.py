@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from contractlens import values
+from contractlens.operators.cleaning import contracts_analysis, contracts_clean
 from contractlens.sources import pages as P
 from contractlens.sources.blocks import parse_page
 
@@ -94,7 +96,7 @@ def test_messy_markup():
     (found,) = parse_page(html)
     assert found["header"] == "No GEMC-5 Status: Y"
     assert found["cells"] == [["a", "b"], ["c"]]
-    assert found["labels"] == [{"raw": "Ministry", "bold": "Ministry", "line": "Ministry: M".replace(" ", "", 0)}]
+    assert found["labels"] == [{"label": "ministry", "bold": "Ministry", "line": "Ministry: M"}]
 
 
 @pytest.mark.parametrize(
@@ -106,6 +108,20 @@ def test_no_block_no_crash(html):
     assert parse_page(html) == []
 
 
+def test_pages_to_clean_contracts(spark):
+    service = block("GEMC-9", rows=(("Cleaning", "", "4", "₹ 8,000", "1"),))
+    goods = block("GEMC-8", rows=(("Pen", "x", "m", "10", "2,000"),), total="")
+    raw = P.as_contracts(P.extract_contracts(pages(spark, service + goods)))
+    assert raw.schema.names == values.CONTRACTS.names
+    rows = {r.contract_number: r for r in contracts_analysis(contracts_clean(raw)).collect()}
+    got = {k: (r.contract_type, r.total_value, r.quantity, r.unit_price, r.year) for k, r in rows.items()}
+    assert got == {
+        "GEMC-9": ("service", 8000.0, 4.0, 2000.0, 2026),
+        "GEMC-8": ("goods", 2000.0, 10.0, 200.0, 2026),
+    }
+    assert all(r.scraped_at is not None for r in rows.values())
+
+
 def test_many_rows_and_deep_pages():
     rows = "".join(f"<tr><td>{i}</td></tr>" for i in range(3000))
     head = '<div class="border block"><div class="block_header">GEMC-1</div>'
