@@ -80,17 +80,26 @@ def coverage(windows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def ingest_rate(ledger: DataFrame, windows: DataFrame, started_at=None) -> DataFrame:
     """Rows per minute since the start, and windows done of all."""
+    log = ledger.select("rows", "completed_at", F.lit(1).alias("_done"), F.lit(0).alias("_all"))
+    planned = windows.select(
+        F.lit(None).cast("long").alias("rows"),
+        F.lit(None).cast("timestamp").alias("completed_at"),
+        F.lit(0).alias("_done"),
+        F.lit(1).alias("_all"),
+    )
     start = F.lit(started_at).cast("timestamp") if started_at else F.min("completed_at")
     seconds = (F.unix_micros(F.max("completed_at")) - F.unix_micros(start)) / 1_000_000
-    done = ledger.agg(
-        F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"),
-        F.count(F.lit(1)).alias("windows_done"),
-        F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(1.0)).alias("_seconds"),
-    )
-    total = windows.agg(F.count(F.lit(1)).alias("windows_total"))
-    # both sides are one row
-    return done.crossJoin(total).select(
-        "rows", "windows_done", "windows_total",
-        (F.col("rows") / F.col("_seconds") * 60).alias("rows_per_minute"),
-        (F.col("_seconds") / 60).alias("elapsed_minutes"),
+    return (
+        log.unionByName(planned)
+        .agg(
+            F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"),
+            F.sum("_done").alias("windows_done"),
+            F.sum("_all").alias("windows_total"),
+            F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(1.0)).alias("_seconds"),
+        )
+        .select(
+            "rows", "windows_done", "windows_total",
+            (F.col("rows") / F.col("_seconds") * 60).alias("rows_per_minute"),
+            (F.col("_seconds") / 60).alias("elapsed_minutes"),
+        )
     )

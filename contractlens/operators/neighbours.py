@@ -21,17 +21,18 @@ def with_neighbours(
     keys: list[str],
     order: list[str],
     seen: list[str],
+    sizes: DataFrame,
     max_group: int,
 ) -> DataFrame:
     """Add ``_prev`` and ``_next``: the columns ``seen`` of the neighbouring
     rows of the same key, as structs.
 
+    ``sizes`` has the rows per key as ``_size``; keys it leaves out are small.
     Rows of normal groups take one shuffle and one sort.  Groups above
     ``max_group`` are cut by a range partitioning over key and order, so no
     task holds one of them as a whole.
     """
     look = F.struct(*[F.col(c) for c in seen])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     hot = sizes.filter(F.col("_size") > max_group)
     heavy = hot.agg(F.sum("_size").alias("s")).first()["s"] or 0
     if heavy == 0:
@@ -39,9 +40,8 @@ def with_neighbours(
 
     # There are at most rows / max_group hot keys.
     hot = durable(hot.select(*keys))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    big = df.alias("r").join(hot.alias("h"), same, "left_semi")
-    rest = df.alias("r").join(hot.alias("h"), same, "left_anti")
+    big = df.join(hot, keys, "left_semi")
+    rest = df.join(hot, keys, "left_anti")
     cut = _cut_neighbours(big, keys, order, look, math.ceil(heavy / max_group) + 1)
     return _lag_lead(rest, keys, order, look).unionByName(cut)
 

@@ -1,9 +1,10 @@
 """Exact interpolated quantiles per group, for groups of any size.
 
-Equal values of a group are counted first, so what is sorted later are the
-distinct values.  While some group still has more distinct values than one
-task should sort, its values are cut into bins, and only the bins that hold
-a wanted rank are kept.  The result is exact in both cases.
+Values fall into narrow bins whose counts combine on the map side, so the
+first shuffle is small however large a group is.  The counts tell which bins
+hold a wanted rank; only values in those bins are looked at again, counted
+and sorted.  A bin that still has more distinct values than one task should
+sort is cut again, as often as needed.  The result is exact.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from contractlens.operators.scale import GROUP_ROWS, attach, durable
 
 BINS = 4096
 
+# First bins: this many per unit of ln(1 + |value|), each about 0.1 % wide.
+# A double has no more than 2 * 710 such units, which bounds bins per group.
+FINENESS = 1024
+
 
 def _ranks(probs: list[float]) -> list[tuple[Column, Column]]:
     """0-based lower and upper rank of each quantile among ``_total`` values."""
@@ -31,11 +36,42 @@ def _holds_rank(probs: list[float]) -> Column:
     return reduce(or_, [r.between(first, last) for pair in _ranks(probs) for r in pair])
 
 
+def _place(value: Column) -> Column:
+    """Where a value lies on a scale that keeps the order of values."""
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
+def _candidates(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Distinct values in the bins that hold a wanted rank, with their counts."""
+    scope = [*keys, "_slot"]
+    placed = values.withColumn("_slot", F.floor(_place(F.col("_value")) * FINENESS))
+    bins = placed.groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_part")
+    )
+    whole = W.partitionBy(*keys)
+    run = whole.orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    wanted = (
+        bins.withColumns(
+            {
+                "_total": F.sum("_n").over(whole),
+                "_sum": F.sum("_part").over(whole),
+                "_before": F.sum("_n").over(run) - F.col("_n"),
+            }
+        )
+        .filter(_holds_rank(probs))
+        .select(*scope, "_total", "_sum", F.col("_before").alias("_below"))
+    )
+    return (
+        attach(placed, wanted, scope)
+        .groupBy(*scope, "_total", "_sum", "_below", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+
+
 def _narrow(pieces: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """Cut every piece into bins and keep the bins that hold a wanted rank."""
     scope = [*keys, "_slot"]
-    x = F.signum("_value") * F.log1p(F.abs("_value"))
-    spread = pieces.withColumn("_x", x)
+    spread = pieces.withColumn("_x", _place(F.col("_value")))
     ends = spread.groupBy(*scope).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
@@ -78,23 +114,11 @@ def group_quantiles(
     Missing values and rows without a key do not count.
     """
     points = list(probs.values())
-    known = df.select(*keys, value.alias("_value")).dropna()
-    counts = durable(known.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n")))
-
-    total, weighed = F.sum("_n"), F.sum(F.col("_value") * F.col("_n"))
-    nothing = F.lit(0).cast("long")
-    scope = keys
-    if _largest(counts, keys) > max_group:
-        totals = counts.groupBy(*keys).agg(total.alias("_total"), weighed.alias("_sum"))
-        pieces = attach(counts, totals, keys).withColumns({"_slot": nothing, "_below": nothing})
-        scope = [*keys, "_slot"]
-        while _largest(pieces, scope) > max_group:
-            pieces = durable(_narrow(pieces, keys, points))
-    else:
-        whole = W.partitionBy(*keys)
-        pieces = counts.withColumns(
-            {"_total": total.over(whole), "_sum": weighed.over(whole), "_below": nothing}
-        )
+    scope = [*keys, "_slot"]
+    values = df.select(*keys, value.alias("_value")).dropna()
+    pieces = durable(_candidates(values, keys, points))
+    while _largest(pieces, scope) > max_group:
+        pieces = durable(_narrow(pieces, keys, points))
 
     run = W.partitionBy(*scope).orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
     placed = pieces.withColumn(

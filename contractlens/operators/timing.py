@@ -49,28 +49,30 @@ def flag_timing_clusters(
     slot = (F.col("_t") - origin - into) / stretch
     spread = F.pmod(F.xxhash64(F.col(order)), F.lit(SPREAD))
 
-    def copy(at: Column, own: bool) -> Column:
-        return F.struct(at.cast("long").alias("_slot"), F.lit(own).alias("_own"))
+    def copies(own: Column) -> Column:
+        """The row's own stretch, and the one next to it when near its end."""
 
-    copies = F.array_compact(
-        F.array(
-            copy(F.coalesce(slot, spread), True),
-            F.when(into >= stretch - window, copy(slot + 1, False)),
-            F.when(into <= window, copy(slot - 1, False)),
+        def copy(at: Column, is_own: bool) -> Column:
+            return F.struct(at.cast("long").alias("_slot"), F.lit(is_own).alias("_own"))
+
+        # near one end at most, as a stretch is 8 windows long
+        return F.inline(
+            F.when(into >= stretch - window, F.array(copy(own, True), copy(slot + 1, False)))
+            .when(into <= window, F.array(copy(own, True), copy(slot - 1, False)))
+            .otherwise(F.array(copy(own, True)))
         )
+
+    timed = df.withColumn("_t", F.when(F.col(buyer).isNotNull(), micros(F.col(time))))
+    known = timed.select(buyer, "_t").filter(F.col("_t").isNotNull())
+    sizes = known.select(buyer, copies(slot)).groupBy(buyer, "_slot").agg(
+        F.count(F.lit(1)).alias("_size")
     )
-    placed = (
-        df.withColumns(
-            {
-                "_t": F.when(F.col(buyer).isNotNull(), micros(F.col(time))),
-                "_v": without_nan(F.col(value)),
-            }
-        )
-        .withColumn("_copy", F.explode(copies))
-        .select("*", "_copy.*")
-        .drop("_copy")
+    placed = timed.withColumn("_v", without_nan(F.col(value))).select(
+        "*", copies(F.coalesce(slot, spread))
+    )
+    seen = with_neighbours(
+        placed, [buyer, "_slot"], ["_t", order], ["_t", "_v"], sizes, max_group
     )
-    seen = with_neighbours(placed, [buyer, "_slot"], ["_t", order], ["_t", "_v"], max_group)
     here = {"_t": F.col("_t"), "_v": F.col("_v")}
     flag = _close(F.col("_prev"), here, window, value_tolerance) | _close(
         here, F.col("_next"), window, value_tolerance
@@ -78,5 +80,5 @@ def flag_timing_clusters(
     return (
         seen.filter("_own")
         .withColumn("timing_cluster_flag", flag)
-        .drop("_t", "_v", "_slot", "_own", "_prev", "_next")
+        .select(*df.columns, "timing_cluster_flag")
     )
