@@ -33,12 +33,6 @@ def windows_between(spark: SparkSession, first: str, last: str, step_days: int =
     return date_windows(ends, "a", "b", step_days)
 
 
-def window_start(day, low, step_days: int):
-    """First day of the window a day falls into, by arithmetic, not by join."""
-    step = max(1, step_days)
-    return F.date_add(low, (F.floor(F.datediff(day, low) / step) * step).cast("int"))
-
-
 def as_text(windows: DataFrame) -> DataFrame:
     return windows.select(*[F.date_format(c, "dd-MM-yyyy").alias(c) for c in WINDOW])
 

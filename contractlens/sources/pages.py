@@ -183,12 +183,12 @@ def first_lines(
     readable = lines.filter(F.col("error").isNull()).drop("error")
     if not keep_blank:
         readable = readable.filter(F.col("contract_number") != "")
-    if seen is not None:
-        readable = not_seen(readable, seen, ["contract_number"])
     if grain == "contract":
         readable = readable.filter(F.col("line_no") == 0)
     order = [*(page_order or ["page_id"]), "block_no", "line_no"]
     first = first_per_key(readable, key_of(grain), order)
+    if seen is not None:
+        first = not_seen(first, seen, ["contract_number"])
     return first.withColumn("id", F.xxhash64("contract_number", "line_no"))
 
 
