@@ -12,11 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey", 25_000)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with order, customer, nation and part."""
     t = lambda name: table(spark, sf_dir, name)
     return (
-        t("lineitem")
+        line_items(spark, sf_dir)
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
