@@ -4,11 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contractlens.llm import mixing, quality, tokens, warc
 from contractlens.llm.common import table
 from contractlens.llm.licenses import scan_licenses
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    measured = quality.measured_rows(docs, ["doc_id"])
+    return quality.judge_measured(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    encoded = tokens.encode(docs, *vocab).drop("text")
+    return tokens.decode(encoded, *vocab).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.length("text").alias("mass"))
+    mixed = mixing.mix_sources(docs, mass="mass")
+    return mixed.select("doc_id", "source", "lang", "n_chars", "mix_copies", "mix_copy", "mix_key")
+
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -17,9 +51,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
+        "op3_quality": op3_quality,
+        "op5_tokens": op5_tokens,
+        "op7_mixing": op7_mixing,
         "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc": warc.ORACLE,
+        "op7_mixing": mixing.oracle_sql(),
+    }
