@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlens.operators.scale import BROADCAST_BYTES, durable, measured_bytes
+
 # A task looks at no more text than this at a time.
 SLICE_BYTES = 4 << 20
 
@@ -127,6 +129,13 @@ def row_key(*columns: str) -> Column:
     return F.md5(F.concat_ws("\x01", *parts))
 
 
-def frame_columns(df: DataFrame, used: list[str]) -> list[str]:
-    """Names in ``df`` that clash with columns an operator adds."""
-    return [c for c in df.columns if c in used]
+def limited(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in ``wanted``.
+
+    ``wanted`` is written and measured first: below the engine's bound it goes
+    to the rows, which then do not move; above it both sides are shuffled.
+    """
+    wanted = durable(wanted.select(*keys).distinct())
+    if measured_bytes(wanted) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, keys, "left_semi")
