@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import mixing, quality, tokens, warc
+from contractlens.llm import extraction, jaccard, mixing, passages, quality, tokens, toxicity, vectors, warc
 from contractlens.llm.common import table
 from contractlens.llm.licenses import scan_licenses
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -26,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_measured(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -38,12 +46,27 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.length("text").alias("mass"))
     mixed = mixing.mix_sources(docs, mass="mass")
     return mixed.select("doc_id", "source", "lang", "n_chars", "mix_copies", "mix_copy", "mix_key")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "kept_doc_id", "start_word", "n_words")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -51,10 +74,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_warc": op2_warc,
         "op3_quality": op3_quality,
+        "op4_jaccard": op4_jaccard,
         "op5_tokens": op5_tokens,
+        "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
+        "op8_vectors": op8_vectors,
+        "op9_passages": op9_passages,
         "op10_license_scan": op10_license_scan,
     }
 
