@@ -31,7 +31,7 @@ from contractlens.operators.scale import durable
 # Counters of the rarity sketch, in segments that are summed apart: 16 MB in
 # all, whatever the corpus.  It only orders shingles; a fuller sketch costs speed.
 COUNTERS = 1 << 22
-SEGMENTS = 256
+SEGMENTS = 64
 
 # Rounds that link members of a shingle to the smallest one before the full join.
 STAR_ROUNDS = 2
@@ -259,10 +259,13 @@ def link_classes(docs: DataFrame, heads: DataFrame, text: str) -> DataFrame:
         near = (F.col("class") > F.col("b_class")) & _may_reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
         met = now.select("shingle", F.col("node").alias("a"), "n", "i", "class").join(other, "shingle").where(near)
         pairs = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_enough_shared()).select("a", "b")
-        found = durable(verified(durable(pairs), docs, heads, text))
+        pairs = durable(pairs)
+        if pairs.isEmpty():
+            continue
+        found = durable(verified(pairs, docs, heads, text))
         links = found if links is None else links.unionByName(found)
         roots = durable(components(links))
-    return roots
+    return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
