@@ -110,7 +110,8 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
     part = F.pmod(F.spark_partition_id(), F.lit(16))
     halfway = parts.repartition(SEGMENTS, "segment", part).mapInArrow(_sum_segments, schema)
     counts, size = np.zeros(COUNTERS, np.int32), COUNTERS // SEGMENTS
-    for row in halfway.repartition(SEGMENTS, "segment").mapInArrow(_sum_segments, schema).toLocalIterator():
+    # at most one row per segment, 16 MB in all
+    for row in halfway.repartition(SEGMENTS, "segment").mapInArrow(_sum_segments, schema).collect():
         counts[row.segment * size : (row.segment + 1) * size] = np.frombuffer(zlib.decompress(row.counts), "<i4")
     return counts
 
