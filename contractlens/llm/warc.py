@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.operators.scale import fresh_path
+from contractlens.operators.scale import BROADCAST_BYTES, durable, fresh_path, measured_bytes
 
 END = "\r\n\r\n"
 
@@ -63,6 +63,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         .where(F.col("__n") > 1)
         .drop("__n")
     )
+    first = durable(first)
+    if measured_bytes(first) <= BROADCAST_BYTES:  # then payloads do not move
+        first = F.broadcast(first)
     # small payloads never match; their keys are spread so that no task gets all of them
     key = F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     joined = rows.withColumn("__digest", key).join(first, "__digest", "left")
