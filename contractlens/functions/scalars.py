@@ -15,14 +15,9 @@ MINUTE = 60_000_000  # microseconds
 # Text patterns
 _NUMERIC_PREFIX = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
 # white space in full, as the (?U) classes are slow
-_SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = values.SPACE
 _MONEY_NOISE = rf"[₹$,A-Za-z{_SPACE}]+"
 _CURRENCY_WORD = r"(?i)^\s*(?:rs|inr)\b\.?"
-_HIDDEN_MARKUP = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-)
-_TAG = r"<[^>]*>"
-_BLOCK_TAG = r"""(?i)\sclass\s*=\s*["'](?:[^"'>]*border[^"'>]*block|[^"'>]*block[^"'>]*border)"""
 
 
 def starts_with_digit(text: Column) -> Column:
@@ -101,16 +96,6 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
-def strip_hidden(html: Column) -> Column:
-    return F.regexp_replace(html, _HIDDEN_MARKUP, " ")
-
-
-def visible_text(shown: Column) -> Column:
-    """Text of markup without hidden parts: lower case, single spaces."""
-    bare = F.regexp_replace(shown, _TAG, " ")
-    spaced = F.replace(bare, F.lit("&nbsp;"), F.lit(" "))
-    return F.lower(F.regexp_replace(spaced, rf"[{_SPACE}]+", " "))
-
-
-def has_result_block(shown: Column) -> Column:
-    return shown.rlike(_BLOCK_TAG)
+def plain_text(text: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.lower(F.regexp_replace(text, rf"[{_SPACE}]+", " "))

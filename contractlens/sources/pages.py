@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contractlens import values
-from contractlens.functions.scalars import (
-    clean_price, contains_any, has_result_block, strip_hidden, strip_space, visible_text,
-)
+from contractlens.functions.scalars import clean_price, contains_any, plain_text, strip_space
 from contractlens.operators.dedup import first_per_key, not_seen
-from contractlens.sources.blocks import parse_page
+from contractlens.sources.blocks import read_page
 
 _LABEL = T.StructType([T.StructField(n, T.StringType()) for n in ("label", "bold", "line")])
 _BLOCK = [
@@ -23,6 +21,7 @@ _BLOCK = [
     T.StructField("body", T.StringType()),
     T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("error", T.StringType()),
+    T.StructField("page_text", T.StringType()),
 ]
 _ARROW_BLOCK = {
     "block_no": pa.int32(),
@@ -32,6 +31,7 @@ _ARROW_BLOCK = {
     "body": pa.string(),
     "cells": pa.list_(pa.list_(pa.string())),
     "error": pa.string(),
+    "page_text": pa.string(),
 }
 
 
@@ -39,7 +39,8 @@ def blocks_of(pages: DataFrame, html: str = "html", outer: bool = False) -> Data
     """One row per contract block, with the other page columns kept.
 
     ``outer`` also keeps a page without blocks, as a row without
-    ``block_no``.  Pages are independent: no shuffle, Arrow in and out.
+    ``block_no``; ``page_text`` is then its text, if it shows no block at all.
+    Pages are independent: no shuffle, Arrow in and out.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in kept]
@@ -48,8 +49,9 @@ def blocks_of(pages: DataFrame, html: str = "html", outer: bool = False) -> Data
         for batch in batches:
             source, blocks = [], []
             for i, text in enumerate(batch.column(html).to_pylist()):
-                found = [{**b, "block_no": no} for no, b in enumerate(parse_page(text))]
-                found = found or [{}] * outer
+                read, page_text = read_page(text)
+                found = [{**b, "block_no": no} for no, b in enumerate(read)]
+                found = found or [{"page_text": page_text}] * outer
                 source.extend([i] * len(found))
                 blocks.extend(found)
             rows = pa.array(source, pa.int32())
@@ -99,7 +101,8 @@ def contract_lines(
     """All product lines of all blocks, typed, with ``line_no`` from 0.
 
     A block without product rows gives one line with empty cells, and with
-    ``outer`` a page without blocks gives one line without ``block_no``.
+    ``outer`` a page without blocks gives one line without ``block_no``, and
+    each line has the ``outcome`` of its page.
     """
     if "scraped_at" not in pages.columns:
         pages = pages.withColumn("scraped_at", F.current_timestamp())
@@ -118,7 +121,7 @@ def contract_lines(
     )
     kept = [
         *page, "block_no", "contract_number", "org_type", *values.LABELS,
-        "total_value", "contract_status", "error",
+        "total_value", "contract_status", "error", *(["page_text"] if outer else []),
     ]
     rows = F.when(F.size("cells") > 0, F.col("cells")).otherwise(blank)
     lines = blocks.select(*kept, F.posexplode(rows).alias("line_no", "cell"))
@@ -126,6 +129,8 @@ def contract_lines(
     def cell(i: int) -> Column:
         return F.coalesce(F.get("cell", F.lit(i)), F.lit(""))
 
+    if outer:
+        lines = lines.withColumn("outcome", _outcome(F.col("page_text"))).drop("page_text")
     return lines.withColumns(
         {
             "product_name": cell(0),
@@ -197,27 +202,30 @@ def as_contracts(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in values.CONTRACTS.fields])
 
 
-def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") -> DataFrame:
-    """Add what a result page shows; the first that fits wins.
-
-    The text is a column of its own, so it is worked out once, and only for
-    pages without results.
-    """
-    outcome = (
-        F.when(F.col("_block"), F.lit("results"))
-        .when(contains_any(F.col("_text"), values.NO_RESULT_PHRASES), F.lit("no_results"))
-        .when(contains_any(F.col("_text"), values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
-        .otherwise(F.lit("unknown"))
-    )
+def _outcome(page_text: Column) -> Column:
+    """What a result page shows; the first that fits wins. No text: it shows a block."""
+    plain = plain_text(page_text)
     return (
-        pages.withColumn("_shown", strip_hidden(F.col(html)))
-        .withColumn("_block", has_result_block(F.col("_shown")))
-        .withColumn("_text", F.when(~F.col("_block"), visible_text(F.col("_shown"))))
-        .withColumn(name, outcome)
-        .drop("_shown", "_block", "_text")
+        F.when(page_text.isNull(), F.lit("results"))
+        .when(contains_any(plain, values.NO_RESULT_PHRASES), F.lit("no_results"))
+        .when(contains_any(plain, values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
+        .otherwise(F.lit("unknown"))
     )
 
 
+def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") -> DataFrame:
+    """Add what a result page shows, from its text as a reader sees it: without
+    title and hidden parts, with character references decoded."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [read_page(text)[1] for text in batch.column(html).to_pylist()]
+            yield batch.append_column("_text", pa.array(texts, pa.string()))
+
+    shown = pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))
+    return shown.withColumn(name, _outcome(F.col("_text"))).drop("_text")
+
+
 def sightings(visits: DataFrame) -> DataFrame:
     """What was seen per date window and contract number.
 

@@ -77,15 +77,23 @@ DATE_FORMATS = {
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
     "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4}$",
     "yyyy-M-d H:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    "d/M/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
+    "yyyy-M-d H:mm": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$",
+    "d-M-yyyy H:mm": r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$",
+    "d-M-yyyy H:mm:ss": r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$",
+    "yyyy-M-d'T'H:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
 }
 
 # --------------------------------------------------------------------------
 # Page extraction
 # --------------------------------------------------------------------------
 
-NUMBER_PATTERN = r"(GEMC-\d+|GEM/\S+)"
-STATUS_PATTERN = r"(?i)Status\s*(?:of\s*the\s*Contract\s*)?[:\-]?\s*(.+)"
-TOTAL_PATTERN = r"(?i)Total\s*[:\s]*[₹]?\s*([\d,.]+)"
+# white space in full, as a class's content: with the no-break space and the like
+SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+NUMBER_PATTERN = rf"(GEMC-\d+|GEM/[^{SPACE}]+)"
+STATUS_PATTERN = rf"(?i)Status[{SPACE}]*(?:of[{SPACE}]*the[{SPACE}]*Contract[{SPACE}]*)?[:\-]?[{SPACE}]*(.+)"
+TOTAL_PATTERN = rf"(?i)Total[{SPACE}]*[:{SPACE}]*[₹]?[{SPACE}]*([\d,.]+)"
 
 BLOCK_CLASS = "border block"
 HEADER_CLASS = "block_header"

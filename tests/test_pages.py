@@ -163,3 +163,46 @@ def test_window_notes(spark):
     assert [(r.contracts, r.rows, r.note) for r in notes] == [
         (1, 3, "normal"), (0, 0, "zero_confirmed"), (0, 0, "zero_assumed"), (0, 1, "normal"),
     ]
+
+
+def test_stray_quote_loses_no_block():
+    got = parse_page("<p title=it's>x" + block("GEMC-1") + "<p title=it's>" + block("GEMC-2"))
+    assert [b["header"][:9] for b in got] == ["No GEMC-1", "No GEMC-2"]
+
+
+def test_stray_end_tags_do_not_cut_a_block():
+    html = block(rows=(("Pen</div>", "B", "c", "2", "5"),)).replace("</table>", "</table><p><strong>Buying Mode:</strong> late</p>")
+    got = parse_page(html + "</span></div></td>" + block("GEMC-2"))
+    assert got[0]["cells"] == [["Pen", "B", "c", "2", "5"]] and len(got) == 2
+    assert any(x["line"].endswith("late") for x in got[0]["labels"])
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<script>", "<!-- ", "<p title='", '<a b="', "<div ", "</", "<"])
+def test_scan_time_is_linear(piece):
+    import time
+
+    begin = time.perf_counter()
+    parse_page('<div class="border block">' + piece * (100_000 // len(piece)))
+    assert time.perf_counter() - begin < 1
+
+
+def test_unclosed_script_and_comment_hide_no_block():
+    assert len(parse_page("<!-- open <p>" + block())) == 1
+    assert len(parse_page("<script>var a;" + block())) == 1
+    assert len(parse_page('<script>var a = "<div class=\'border block\'>";</script>' + block())) == 1
+
+
+def test_no_break_spaces(spark):
+    space = "&nbsp;"
+    html = block(f"GEM/2024/B/7{space}", status=f"Status{space}of{space}the{space}Contract: Paid", total=f"<div>Total{space}:{space}₹{space}500</div>")
+    row = P.extract_contracts(pages(spark, html)).first()
+    assert (row.contract_number, row.contract_status, row.total_value) == ("GEM/2024/B/7", "Paid", 500.0)
+
+
+def test_outcome_decodes_references_and_leaves_the_title_out(spark):
+    rows = pages(
+        spark, "<p>No&#160;records found</p>", "no record&#40;s&#41; found", "<title>invalid captcha</title><p>x</p>",
+        '<section class="block border"></section>no data found', None, "",
+    )
+    got = [r.outcome for r in P.with_outcome(rows).orderBy("page_id").collect()]
+    assert got == ["no_results", "no_results", "unknown", "results", "unknown", "unknown"]
