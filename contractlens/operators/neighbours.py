@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contractlens.operators.scale import durable
+from contractlens.operators.scale import attach, durable
 
 
 def _lag_lead(df: DataFrame, part: list[str], order: list[str], seen: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def _cut_neighbours(
     ends = ends.select(
         "_piece", F.lag("last").over(w).alias("_left"), F.lead("first").over(w).alias("_right")
     )
-    joined = inner.join(F.broadcast(ends), "_piece")
+    joined = attach(inner, ends, ["_piece"])
     fill = {
         "_prev": F.coalesce("_prev", F.when(F.col("_left.key") == key, F.col("_left.row"))),
         "_next": F.coalesce("_next", F.when(F.col("_right.key") == key, F.col("_right.row"))),

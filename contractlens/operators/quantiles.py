@@ -115,7 +115,8 @@ def group_quantiles(
     """
     points = list(probs.values())
     scope = [*keys, "_slot"]
-    values = df.select(*keys, value.alias("_value")).dropna()
+    # key and value alone are written, so that the work above runs once
+    values = durable(df.select(*keys, value.alias("_value")).dropna())
     pieces = durable(_candidates(values, keys, points))
     while _largest(pieces, scope) > max_group:
         pieces = durable(_narrow(pieces, keys, points))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,38 +41,61 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/contractlens/{name}-{uuid.uuid4().hex}"
 
 
-# folders written by ``durable`` in this process
-_steps: list[str] = []
+class Steps:
+    """The intermediate copies of one run, removed when it ends, also on failure.
+
+    Within ``with Steps(spark):`` all copies that ``durable`` writes belong to
+    it.  Frames built on them end with it, so results are written inside.
+    """
+
+    _open: ContextVar[Steps | None] = ContextVar("steps", default=None)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Steps:
+        self._token = Steps._open.set(self)
+        return self
+
+    def __exit__(self, *problem) -> None:
+        Steps._open.reset(self._token)
+        self.drop()
+
+    def drop(self) -> int:
+        dropped = len(self.paths)
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return dropped
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written copy.
 
     What follows does not recompute the work above it, also not after an
-    executor is lost.  ``drop_steps`` removes the copies after a run.
+    executor is lost.  The copy belongs to the innermost open ``Steps``;
+    without one it stays, as the caller's frame reads it.
     """
     path = fresh_path(df.sparkSession, "step")
-    _steps.append(path)
+    owner = Steps._open.get()
+    if owner:
+        owner.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_steps(spark: SparkSession) -> int:
-    """Remove the copies ``durable`` has written; frames built on them end."""
-    dropped = len(_steps)
-    while _steps:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_steps.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return dropped
-
-
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df`` in memory, by one aggregate."""
     fixed = 8 * len(df.columns) + 16
     sizes = [
         F.coalesce(F.octet_length(f.name), F.lit(0))
         for f in df.schema.fields
-        if isinstance(f.dataType, T.StringType)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType))
+    ]
+    sizes += [
+        F.coalesce(F.size(f.name), F.lit(0)) * (f.dataType.elementType.simpleString().count(",") * 8 + 24)
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.ArrayType)
     ]
     row = F.lit(fixed)
     for size in sizes:
@@ -91,13 +115,3 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner
     if measured_bytes(stats) <= BROADCAST_BYTES:
         stats = F.broadcast(stats)
     return rows.join(stats, keys, how)
-
-
-def spread_small(df: DataFrame, key: str, rows_per_task: int = 2_500, most: int = 1_000) -> DataFrame:
-    """Spread the rows of a small file over tasks before costly work on them.
-
-    Tables beyond ``most`` tasks of that size have splits enough and are left
-    as they are read.
-    """
-    tasks = -(-df.count() // rows_per_task)
-    return df.repartition(tasks, key) if 1 < tasks <= most else df

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.operators.scale import durable, spread_small
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey", 25_000)
+    return table(spark, sf_dir, "lineitem")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +68,6 @@ def date_text(when: Column, clock: Column) -> Column:
 
 
 def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as a stored table of raw contracts, as cleaning reads it."""
-    return durable(_raw_text(spark, sf_dir))
-
-
-def _raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as they would come from pages: text, swapped columns, gaps."""
     line = F.col("l_linenumber")
     money, count = money_text("l_extendedprice"), F.col("l_quantity").cast("int").cast("string")
@@ -172,14 +165,18 @@ def render_pages(details: DataFrame) -> DataFrame:
 
     Orders of status ``P`` show no contract number, those of priority
     ``5-LOW`` have no product table, the total of ``1-URGENT`` has no label
-    of its own.
+    of its own.  Some markup is sloppy: a stray quote before the blocks of
+    ``2-HIGH``, no-break spaces in the header of ``3-MEDIUM``, a misplaced end
+    tag in a cell of ``4-NOT SPECIFIED``.
     """
     money, key = money_text("o_totalprice"), F.col("o_orderkey").cast("string")
-    numbered = F.col("o_orderstatus") != "P"
+    numbered, priority = F.col("o_orderstatus") != "P", F.col("o_orderpriority")
     header = F.concat(
         F.lit('<div class="block_header"><p>Contract No: '),
         F.when(numbered, F.concat(F.lit("GEMC-"), key)).otherwise("withheld"),
-        F.lit("</p><p>Status of the Contract: <b>State "),
+        F.lit("</p><p>"),
+        F.when(priority == "3-MEDIUM", "&#160;Status&nbsp;of&nbsp;the&nbsp;Contract:").otherwise("Status of the Contract:"),
+        F.lit(" <b>State "),
         F.col("o_orderstatus"),
         F.lit("</b></p></div>"),
     )
@@ -192,7 +189,10 @@ def render_pages(details: DataFrame) -> DataFrame:
             F.lit('<table class="table table-striped">'),
             _row(F.lit("Product"), F.lit("Brand"), tag="th"),
             _row(
-                F.concat(F.lit("Pens &amp; "), F.col("o_orderpriority")),
+                F.concat(
+                    F.lit("Pens &amp; "), priority,
+                    F.when(priority == "4-NOT SPECIFIED", "</div>").otherwise(""),
+                ),
                 F.col("c_mktsegment"),
                 F.concat(F.lit("M"), F.col("c_nationkey")),
                 F.lit(" 4 "),
@@ -221,6 +221,7 @@ def render_pages(details: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("page_id"),
         F.concat(
             F.lit('<html><head><script>var t="</div>";</script></head><body>'),
+            F.when(priority == "2-HIGH", "<p title=it's>").otherwise(""),
             block, block, F.lit("</body></html>"),
         ).alias("html"),
         F.col("o_orderdate").cast("date").alias("from_date"),
@@ -230,8 +231,7 @@ def render_pages(details: DataFrame) -> DataFrame:
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread_small(table(spark, sf_dir, "orders"), "o_orderkey")
-    return render_pages(order_details(orders, spark, sf_dir))
+    return render_pages(order_details(table(spark, sf_dir, "orders"), spark, sf_dir))
 
 
 def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
