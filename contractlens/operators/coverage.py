@@ -37,9 +37,16 @@ def as_text(windows: DataFrame) -> DataFrame:
     return windows.select(*[F.date_format(c, "dd-MM-yyyy").alias(c) for c in WINDOW])
 
 
-def pending_windows(windows: DataFrame, ledger: DataFrame, limit: int | None = None) -> DataFrame:
-    """Windows not in the ledger, earliest first."""
-    todo = windows.join(ledger.select(*WINDOW), WINDOW, "left_anti").orderBy(*WINDOW)
+def pending_windows(
+    windows: DataFrame, ledger: DataFrame, limit: int | None = None, recheck: bool = False
+) -> DataFrame:
+    """Windows not in the ledger, earliest first.
+
+    Any entry counts as done; with ``recheck`` those taken as empty without a
+    page that says so are visited again.
+    """
+    done = ledger.filter(F.col("note") != "zero_assumed") if recheck else ledger
+    todo = windows.join(done.select(*WINDOW), WINDOW, "left_anti").orderBy(*WINDOW)
     return todo.limit(limit) if limit else todo
 
 
@@ -62,8 +69,8 @@ def review_windows(ledger: DataFrame) -> DataFrame:
 
 def coverage(windows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Total, done, pending and unsure windows, in one row."""
-    marked = windows.join(ledger.select(*WINDOW, "note"), WINDOW, "left")
-    done = F.col("note").isNotNull()
+    marked = windows.join(ledger.select(*WINDOW, "note", F.lit(True).alias("_done")), WINDOW, "left")
+    done = F.col("_done").isNotNull()
     return marked.agg(
         F.count(F.lit(1)).alias("windows_total"),
         F.count_if(done).alias("windows_done"),

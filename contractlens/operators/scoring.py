@@ -35,22 +35,37 @@ def run_metrics(scored: DataFrame, value: str = "total_value") -> DataFrame:
     )
 
 
-def report_lines(metrics: DataFrame) -> DataFrame:
-    """Run figures as text, for display only."""
-    return metrics.select(
-        F.concat_ws(
-            "\n",
-            F.format_string(
-                "%,d contracts, %s Cr total value", "contracts",
-                F.format_number("total_crore", 0),
-            ),
-            F.format_string(
-                "price outliers: %,d (%.2f%%)", "price_flagged", F.col("price_rate") * 100
-            ),
-            F.format_string(
-                "timing clusters: %,d (%.2f%%)", "timing_flagged", F.col("timing_rate") * 100
-            ),
-            F.format_string("by at least one: %,d", "flagged_any"),
-            F.format_string("by both: %,d", "flagged_both"),
-        ).alias("report")
-    )
+def report_lines(
+    metrics: DataFrame, missing: DataFrame | None = None, hhi: DataFrame | None = None,
+    group: str = "ministry", top: int = 5,
+) -> DataFrame:
+    """Run figures as text, for display only: one row.
+
+    ``missing`` adds the share of rows without entity, ``hhi`` the most
+    concentrated groups.  All three are one row each by the time they meet.
+    """
+    parts = [
+        F.format_string(
+            "%,d contracts, %s Cr total value", "contracts",
+            F.format_number("total_crore", 0),
+        ),
+        F.format_string(
+            "price outliers: %,d (%.2f%%)", "price_flagged", F.col("price_rate") * 100
+        ),
+        F.format_string(
+            "timing clusters: %,d (%.2f%%)", "timing_flagged", F.col("timing_rate") * 100
+        ),
+        F.format_string("by at least one: %,d", "flagged_any"),
+        F.format_string("by both: %,d", "flagged_both"),
+    ]
+    if missing is not None:
+        metrics = metrics.crossJoin(F.broadcast(missing.select("missing_rate")))
+        parts.append(F.format_string("without entity: %.1f%%", F.col("missing_rate") * 100))
+    if hhi is not None:
+        first = hhi.orderBy(F.desc("hhi"), group).limit(top)
+        line = F.format_string("%s: %s", group, F.format_number("hhi", 0))
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("hhi")).alias("o"), F.col(group).alias("g"), line.alias("line"))))
+        lines = first.agg(F.array_join(F.transform(ranked, lambda r: r["line"]), "\n").alias("_top"))
+        metrics = metrics.crossJoin(F.broadcast(lines))
+        parts.append(F.concat(F.lit("most concentrated:\n"), "_top"))
+    return metrics.select(F.concat_ws("\n", *parts).alias("report"))

@@ -266,9 +266,20 @@ PENDING = f"""
 WITH {NOTES}, {_windows(1)}
 SELECT from_date, to_date FROM w
 WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.from_date = w.from_date
-                  AND n.to_date = w.to_date AND n.note <> 'zero_assumed')
+                  AND n.to_date = w.to_date AND n.from_date < DATE '1998-01-01')
 """
 
+RECHECK = PENDING.replace("n.from_date < DATE '1998-01-01'", "n.note <> 'zero_assumed'")
+
+SCORED = f"""WITH {FX}, {_fences("fx", "product_name", "unit_price", 3.0)},
+            {_pairs("fx", "org_name", "contract_date", "total_value", "contract_number", 30, 0.02)},
+            scored AS (
+              SELECT *, CAST(overpriced_flag AS INTEGER) + CAST(timing_cluster_flag AS INTEGER)
+                AS anomaly_score
+              FROM (SELECT timed.*, coalesce(ln(1 + greatest(unit_price, 0)) > upper_fence, false)
+                AS overpriced_flag FROM timed LEFT JOIN fences USING (product_name))
+            )"""
+
 # -- pages -----------------------------------------------------------------------
 
 HAS_TABLE = "o_orderpriority <> '5-LOW'"
@@ -471,6 +482,11 @@ def oracle_sql() -> dict[str, str]:
             strftime(to_date, '%d-%m-%Y') AS to_date FROM w""",
         "window_note": f"WITH {NOTES} SELECT * FROM notes",
         "pending_windows": PENDING,
+        "recheck_windows": RECHECK,
+        "ledger_migrated": f"""WITH {NOTES}, {_windows(1)}
+            SELECT count(*) AS windows_total, count(note) AS windows_done,
+              count(*) - count(note) AS windows_pending, CAST(0 AS BIGINT) AS zero_assumed
+            FROM w LEFT JOIN notes USING (from_date, to_date)""",
         "next_windows": f"{PENDING} ORDER BY from_date LIMIT 10",
         "ledger_latest": f"""WITH {NOTES}, {_notes("again", "outcome <> 'results'")}
             SELECT * FROM again UNION ALL
@@ -498,21 +514,22 @@ def oracle_sql() -> dict[str, str]:
               CAST(n AS INTEGER) AS line_no, 'no contract number' AS reason
             FROM orders, range(2) AS x(b), range(2) AS y(n)
             WHERE o_orderstatus = 'P' AND (n = 0 OR {HAS_TABLE})""",
-        "page_outcome": f"""SELECT page_id, {_outcome("html")} AS outcome,
-            {_outcome("shown")} AS outcome_with_notice
-            FROM (SELECT *, {NOTICE} AS shown FROM pages)""",
+        "page_outcome": """SELECT page_id, 'unknown' AS outcome,
+            CASE page_id % 3 WHEN 0 THEN 'no_results' WHEN 1 THEN 'captcha_error' ELSE 'results' END
+              AS outcome_with_notice
+            FROM pages""",
         "stream_ingest": FIRST_LINES,
         "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS seen FROM events",
         "csv_scan": f"""WITH {FX} SELECT contract_number, ministry, brand, product_name,
-            total_value, CAST(contract_date AS DATE) AS contract_date FROM fx""",
+            total_value, contract_status || chr(10) || '"held", later' AS contract_status,
+            CAST(contract_date AS DATE) AS contract_date FROM fx""",
+        "csv_problems": f"""WITH {FX} SELECT CAST(0 AS BIGINT) AS total_value, CAST(0 AS BIGINT) AS unit_price,
+            count_if(quantity = 50) AS quantity, CAST(0 AS BIGINT) AS contract_date FROM fx""",
         "csv_to_hhi": _hhi("ministry"),
-        "csv_to_metrics": f"""WITH {FX}, {_fences("fx", "product_name", "unit_price", 3.0)},
-            {_pairs("fx", "org_name", "contract_date", "total_value", "contract_number", 30, 0.02)},
-            scored AS (
-              SELECT *, CAST(overpriced_flag AS INTEGER) + CAST(timing_cluster_flag AS INTEGER)
-                AS anomaly_score
-              FROM (SELECT timed.*, coalesce(ln(1 + greatest(unit_price, 0)) > upper_fence, false)
-                AS overpriced_flag FROM timed LEFT JOIN fences USING (product_name))
-            ) {_metrics("total_value")}""",
+        "hhi_file": _hhi("ministry"),
+        "csv_to_metrics": f"""{SCORED} {_metrics("total_value")}""",
+        "flagged_file": f"""{SCORED} SELECT contract_number,
+            contract_status || chr(10) || '"held", later' AS contract_status, anomaly_score
+            FROM scored WHERE anomaly_score > 0""",
     }
     return {name: re.sub(r"\n\s*\n", "\n", text).strip() for name, text in sql.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contractlens.functions import scalars as S
 from contractlens.operators import cleaning, concentration, coverage, dedup, overpricing
 from contractlens.operators import reports, scoring, timing
-from contractlens.operators.scale import fresh_path, spread_small
+from contractlens.operators.scale import fresh_path
 from contractlens.plans import catalogue as cat
 from contractlens.plans.runs import run_analysis, run_pipeline, score_contracts
 from contractlens.sources import pages as P
@@ -321,17 +321,29 @@ def window_note(spark, sf):
 
 
 def _done(spark, sf):
-    return tables.ledger_latest(_run(spark, sf)).filter(F.col("note") != "zero_assumed")
+    """The ledger of the first half of the days."""
+    return tables.ledger_latest(_run(spark, sf)).filter(F.col("from_date") < "1998-01-01")
 
 
 def pending_windows(spark, sf):
     return coverage.pending_windows(_windows(spark, sf, 1), _done(spark, sf))
 
 
+def recheck_windows(spark, sf):
+    return coverage.pending_windows(_windows(spark, sf, 1), tables.ledger_latest(_run(spark, sf)), recheck=True)
+
+
 def next_windows(spark, sf):
     return coverage.pending_windows(_windows(spark, sf, 1), _done(spark, sf), limit=10)
 
 
+def ledger_migrated(spark, sf):
+    """A ledger written before there were notes and rows, read in the present layout."""
+    path = fresh_path(spark, "ledger")
+    tables.write_batch(_run(spark, sf).drop("note", "rows"), path, "0")
+    return coverage.coverage(_windows(spark, sf, 1), tables.read_ledger(spark, path))
+
+
 def ledger_latest(spark, sf):
     both = _run(spark, sf).unionByName(_run(spark, sf, "2"))
     return tables.ledger_latest(both).select("from_date", "to_date", "contracts", "rows", "note")
@@ -381,12 +393,11 @@ def extract_rejects(spark, sf):
 def page_outcome(spark, sf):
     """The given pages as they are, and each with a notice added."""
     notice = (
-        F.when(F.col("page_id") % 3 == 0, "<p>No&nbsp;<b>Records</b>\n Found</p>")
+        F.when(F.col("page_id") % 3 == 0, "<p>No&#160;<b>Record&#40;s&#41;</b>\n Found</p>")
         .when(F.col("page_id") % 3 == 1, "<p>Invalid CAPTCHA</p><script>no data found</script>")
         .otherwise('<div class="border block"></div><p>no data found</p>')
     )
-    given = spread_small(cat.table(spark, sf, "pages"), "page_id", 250)
-    pages = P.with_outcome(given)
+    pages = P.with_outcome(cat.table(spark, sf, "pages"))
     noticed = pages.withColumn("html", F.concat("html", notice))
     return P.with_outcome(noticed, name="outcome_with_notice").drop("html", "url")
 
@@ -427,32 +438,64 @@ def stream_dedup(spark, sf):
 
 
 def _as_csv(spark, sf) -> str:
-    """Contracts as a text file, with gaps written in several ways."""
+    """Contracts as text files: gaps and dates written in several ways, line
+    ends in cells, counts that are no numbers."""
     path = fresh_path(spark, "csv")
     gap = F.when(F.col("quantity") < 10, "NA").when(F.col("quantity") < 20, "None").otherwise("")
-    day = F.date_format("contract_date", "d/M/yyyy HH:mm")
+    day = F.when(F.col("quantity") % 2 == 0, F.date_format("contract_date", "d/M/yyyy HH:mm")).otherwise(
+        F.date_format("contract_date", "yyyy-MM-dd HH:mm:ss")
+    )
     rows = cat.contracts(spark, sf).withColumns(
-        {"brand": F.coalesce("brand", gap), "contract_date": day, "unit_price": F.round("unit_price", 4)}
+        {
+            "brand": F.coalesce("brand", gap),
+            "contract_date": day,
+            "unit_price": F.round("unit_price", 4),
+            "contract_status": F.concat("contract_status", F.lit('\n"held", later')),
+            "quantity": F.when(F.col("quantity") == 50, "fifty").otherwise(F.col("quantity").cast("string")),
+        }
     )
-    tables.write_csv(rows, path)
+    tables.write_csv(rows.repartition(8), path)
     return path
 
 
 def csv_scan(spark, sf):
     return tables.read_contracts_csv(spark, _as_csv(spark, sf)).select(
-        "contract_number", "ministry", "brand", "product_name", "total_value",
+        "contract_number", "ministry", "brand", "product_name", "total_value", "contract_status",
         F.col("contract_date").cast("date").alias("contract_date"),
     )
 
 
+def csv_problems(spark, sf):
+    return tables.csv_problems(tables.read_csv_text(spark, _as_csv(spark, sf)))
+
+
+def _csv_run(spark, sf):
+    out = fresh_path(spark, "run")
+    return run_pipeline(spark, _as_csv(spark, sf), out, order="contract_number"), out
+
+
 def csv_to_hhi(spark, sf):
-    done = run_pipeline(spark, _as_csv(spark, sf), fresh_path(spark, "run"), order="contract_number")
-    return _rounded(done.hhi, 6, "hhi")
+    return _rounded(_csv_run(spark, sf)[0].hhi, 6, "hhi")
 
 
 def csv_to_metrics(spark, sf):
-    done = run_pipeline(spark, _as_csv(spark, sf), fresh_path(spark, "run"), order="contract_number")
-    return done.metrics
+    return _csv_run(spark, sf)[0].metrics
+
+
+def hhi_file(spark, sf):
+    """The concentration file, read back."""
+    text = tables.read_csv_text(spark, f"{_csv_run(spark, sf)[1]}/hhi_by_ministry")
+    return text.select("ministry", F.round(F.col("hhi").cast("double"), 6).alias("hhi"))
+
+
+def flagged_file(spark, sf):
+    """The file of flagged contracts, read back."""
+    text = tables.read_csv_text(spark, f"{_csv_run(spark, sf)[1]}/flagged_anomalies")
+    return text.select("contract_number", "contract_status", F.col("anomaly_score").cast("int").alias("anomaly_score"))
+
+
+def run_report(spark, sf):
+    return _csv_run(spark, sf)[0].report
 
 
 ALL = [
@@ -467,11 +510,12 @@ ALL = [
     median_outliers, median_outliers_goods, anomaly_impact, analysis_chain,
     top_ministries, value_range, row_count,
     dedup_first, new_contracts, append_twice,
-    date_windows, window_note, pending_windows, next_windows, ledger_latest, ledger_summary,
+    date_windows, window_note, pending_windows, recheck_windows, next_windows, ledger_latest,
+    ledger_migrated, ledger_summary,
     review_windows, window_coverage, ingest_rate,
     extract_contracts, extract_lines, extract_rejects, page_outcome,
     stream_ingest, stream_dedup,
-    csv_scan, csv_to_hhi, csv_to_metrics,
+    csv_scan, csv_problems, csv_to_hhi, csv_to_metrics, hhi_file, flagged_file, run_report,
 ]
 
 

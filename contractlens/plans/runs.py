@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from contractlens.operators.cleaning import contracts_analysis, contracts_clean
-from contractlens.operators.concentration import compute_hhi
+from contractlens.operators.concentration import compute_hhi, missing_rate
 from contractlens.operators.overpricing import apply_fences, price_fences
 from contractlens.operators.reports import anomaly_impact, median_outliers
-from contractlens.operators.scoring import add_score, review_list, run_metrics
+from contractlens.operators.scale import Steps
+from contractlens.operators.scoring import add_score, report_lines, review_list, run_metrics
 from contractlens.operators.timing import flag_timing_clusters
-from contractlens.sources.tables import read_contracts_csv, write_csv, write_table
+from contractlens.sources.tables import (
+    csv_problems, csv_rejects, read_csv_text, type_columns, write_csv, write_table,
+)
 
 
 def score_contracts(
@@ -45,25 +48,35 @@ class Outputs:
     hhi: DataFrame
     flagged: DataFrame
     metrics: DataFrame
+    problems: DataFrame
+    rejects: DataFrame
+    report: DataFrame
 
 
 def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id") -> Outputs:
     """CSV of clean contracts to ``hhi_by_ministry``, ``scored``,
-    ``flagged_anomalies`` and ``run_metrics`` under ``out``.
+    ``flagged_anomalies``, ``run_metrics`` and ``run_report`` under ``out``.
 
-    The text is read once and kept as a typed table, of which each step reads
-    its columns.  The scored table is written once; review list and figures
+    The contracts are kept as a typed table, of which each step reads its
+    columns.  Cells that do not fit their type are counted in
+    ``csv_problems``, records that do not fit their header are in ``csv_rejects``.  The scored table is written once; review list and figures
     read it.
     """
-    contracts = write_table(read_contracts_csv(spark, path), f"{out}/contracts")
-    hhi = compute_hhi(contracts, "ministry", "brand")
-    write_csv(hhi, f"{out}/hhi_by_ministry")
-
-    scored = write_table(score_contracts(contracts, order=order), f"{out}/scored")
-    flagged = review_list(scored, order)
-    write_csv(flagged, f"{out}/flagged_anomalies")
-    metrics = write_table(run_metrics(scored), f"{out}/run_metrics")
-    return Outputs(hhi, flagged, metrics)
+    with Steps(spark):
+        text = read_csv_text(spark, path)
+        contracts = write_table(type_columns(text), f"{out}/contracts")
+        problems = write_table(csv_problems(text), f"{out}/csv_problems")
+        rejects = write_table(csv_rejects(spark, path), f"{out}/csv_rejects")
+        hhi = compute_hhi(contracts, "ministry", "brand")
+        write_csv(hhi, f"{out}/hhi_by_ministry")
+
+        scored = write_table(score_contracts(contracts, order=order), f"{out}/scored")
+        flagged = review_list(scored, order)
+        write_csv(flagged, f"{out}/flagged_anomalies")
+        metrics = write_table(run_metrics(scored), f"{out}/run_metrics")
+        lines = report_lines(metrics, missing_rate(contracts), hhi, "ministry")
+        report = write_table(lines, f"{out}/run_report")
+    return Outputs(hhi, flagged, metrics, problems, rejects, report)
 
 
 @dataclass(frozen=True)
@@ -78,7 +91,8 @@ def run_analysis(raw: DataFrame, out: str) -> Analysis:
 
     The analysis view is written, as the medians and the rows both read it.
     """
-    clean = contracts_analysis(contracts_clean(raw))
-    analysis = write_table(clean, f"{out}/contracts_analysis")
-    anomalies = write_table(median_outliers(analysis), f"{out}/price_anomalies")
+    with Steps(raw.sparkSession):
+        clean = contracts_analysis(contracts_clean(raw))
+        analysis = write_table(clean, f"{out}/contracts_analysis")
+        anomalies = write_table(median_outliers(analysis), f"{out}/price_anomalies")
     return Analysis(analysis, anomalies, anomaly_impact(anomalies))

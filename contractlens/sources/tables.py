@@ -26,20 +26,47 @@ CSV_TYPES = {
 # --------------------------------------------------------------------------
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Every column as text under its header name, missing tokens as NULL.
+CORRUPT = "_corrupt_record"
+
 
-    ``multi_line`` allows line ends in quoted cells, at the price that a file
-    is read by one task; leave it off for large files.
+def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All records as text, with those that do not fit their header whole in ``CORRUPT``.
+
+    The columns are those of one file's header; a file whose header differs in
+    names or order raises an error, as its cells would go to other columns.
     """
-    text = (
-        spark.read.option("header", True)
-        .option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    return (
+        reader.schema(schema)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("enforceSchema", False)
         .csv(path)
     )
-    return text.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every column as text under its header name, missing tokens as NULL.
+
+    Quoted cells may hold line ends, so a file is read by one task: large
+    tables come as many files.  Records with too few or too many cells are
+    left to ``csv_rejects``.  ``multi_line=False`` splits files, for sources
+    known to have no line ends in cells.
+    """
+    text = _read_csv(spark, path, multi_line)
+    good = text.filter(F.col(CORRUPT).isNull())
+    names = [c for c in text.columns if c != CORRUPT]
+    return good.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def csv_rejects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Records that do not fit their header, and the file they are in."""
+    text = _read_csv(spark, path, multi_line)
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in text.columns if c != CORRUPT]))
+    kept = text.select(F.col(CORRUPT).alias("record"), whole.alias("cells"), F.input_file_name().alias("file"))
+    return kept.filter(F.col("record").isNotNull())
 
 
 def _typed(column: str, kind: str):
@@ -85,9 +112,17 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 # --------------------------------------------------------------------------
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path``, or no rows of ``schema`` when there is none yet."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+# A growing table with keys is split by a hash of the key into this many parts.
+BUCKETS = 32
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, *parts: str) -> DataFrame:
+    """The table at ``path``, or no rows of ``schema`` when there is none yet.
+
+    ``parts`` are the folder columns besides ``batch``, as DDL.
+    """
+    folders = [T.StructField("batch", T.StringType()), *[f for p in parts for f in T.StructType.fromDDL(p).fields]]
+    with_batch = T.StructType([*schema.fields, *folders])
     try:
         return spark.read.schema(with_batch).parquet(path)
     except AnalysisException as missing:
@@ -107,10 +142,10 @@ def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> bo
     return True
 
 
-def write_batch(df: DataFrame, path: str, batch: str) -> str:
-    """Write one batch, replacing an earlier try of it; returns its folder."""
+def write_batch(df: DataFrame, path: str, batch: str, *parts: str) -> str:
+    """Write one batch, replacing an earlier try of it, split by the columns ``parts``; returns its folder."""
     place = f"{path.rstrip('/')}/batch={batch}"
-    df.write.mode("overwrite").parquet(place)
+    df.write.mode("overwrite").partitionBy(*parts).parquet(place)
     return place
 
 
@@ -118,17 +153,23 @@ def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], or
     """Append rows whose key is new, the first row of each key, and return
     how many really went in.  Writing the same batch again changes nothing.
 
-    The keys of a small batch are broadcast to the scan of the key columns
-    of the table, so the table does not move.
+    The table is split by a hash of the key, and only the parts that the batch
+    has keys of are looked at; of these only the key columns are read.  The
+    keys of a small batch are broadcast to that scan, so the table does not move.
     """
-    fresh = durable(first_per_key(batch_rows, keys, order))
-    old = read_or_empty(batch_rows.sparkSession, path, fresh.schema)
+    spark, schema = batch_rows.sparkSession, batch_rows.schema
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    fresh = durable(first_per_key(batch_rows, keys, order).withColumn("bucket", bucket))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+    old = read_or_empty(spark, path, schema, "bucket int").filter(F.col("bucket").isin(touched))
     asked = fresh.select(*keys)
     if measured_bytes(asked) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     hits = old.filter(F.col("batch") != batch).select(*keys).join(asked, keys, "left_semi")
-    place = write_batch(not_seen(fresh, hits, keys), path, batch)
-    return fresh.sparkSession.read.schema(fresh.schema).parquet(place).count()
+    # one file for each part
+    new = not_seen(fresh, hits, keys).repartition("bucket")
+    place = write_batch(new, path, batch, "bucket")
+    return spark.read.schema(fresh.schema).parquet(place).count()
 
 
 # --------------------------------------------------------------------------
@@ -136,21 +177,21 @@ def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], or
 # --------------------------------------------------------------------------
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, values.LEDGER).drop("batch")
+    """The ledger, entries of older layouts in the present one."""
+    return migrate_ledger(read_or_empty(spark, path, values.LEDGER).drop("batch"))
 
 
 def migrate_ledger(old: DataFrame) -> DataFrame:
     """A ledger of an older layout in the present one.
 
-    A missing ``note`` reads as ``normal``.
+    A missing ``note`` reads as ``normal``, missing ``rows`` as the contracts.
     """
     known = {"note": F.lit("normal"), "rows": F.col("contracts")}
     for name, fill in known.items():
-        if name not in old.columns:
-            old = old.withColumn(name, fill)
+        old = old.withColumn(name, F.coalesce(F.col(name), fill) if name in old.columns else fill)
     return old.select(*[F.col(f.name).cast(f.dataType) for f in values.LEDGER.fields])
 
 
 def ledger_latest(ledger: DataFrame) -> DataFrame:
-    """One row per window: a later entry replaces an earlier one."""
-    return latest_per_key(ledger, ["from_date", "to_date"], ["completed_at"])
+    """One row per window: a later entry replaces an earlier one; of equal times the fuller one."""
+    return latest_per_key(ledger, ["from_date", "to_date"], ["completed_at", "rows", "contracts", "note"])

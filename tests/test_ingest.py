@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contractlens import values
 from contractlens.operators import coverage, dedup
-from contractlens.operators.scale import drop_steps, durable, measured_bytes, spread_small
+from contractlens.operators.scale import Steps, durable, measured_bytes
 from contractlens.plans.runs import run_analysis, run_pipeline
 from contractlens.sources import tables
 from contractlens.streaming import ingest
@@ -214,12 +214,56 @@ def test_run_analysis_replaces_its_tables(spark, sf, tmp_path):
 def test_size_helpers(spark):
     df = spark.createDataFrame([("abc", 1), (None, 2)], "s string, n int")
     assert measured_bytes(df) == 2 * 32 + 3 and measured_bytes(df.limit(0)) == 0
-    assert spread_small(df, "n", rows_per_task=1).rdd.getNumPartitions() == 2
 
 
-def test_durable_steps_are_removed(spark):
-    kept = durable(spark.range(5))
-    (file,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
-    folder = pathlib.Path(file.removeprefix("file:").replace("//", "/"))
-    assert kept.count() == 5 and folder.exists()
-    assert drop_steps(spark) > 0 and not folder.exists()
+def test_steps_are_removed_also_on_failure(spark):
+    with pytest.raises(ValueError), Steps(spark):
+        kept = durable(spark.range(5))
+        (file,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+        folder = pathlib.Path(file.removeprefix("file:").replace("//", "/"))
+        assert kept.count() == 5 and folder.exists()
+        raise ValueError
+    assert not folder.exists()
+
+
+def test_quoted_line_ends_and_rejects(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('id,product_name,total_value\n1,"Pen\nblue",5\n2,short\n3,a,6,long\n4,"say ""x""",7\n')
+    got = tables.read_contracts_csv(spark, str(path)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "Pen\nblue", 5.0), (4, 'say "x"', 7.0)]
+    rejects = tables.csv_rejects(spark, str(path)).collect()
+    assert sorted(r.record for r in rejects) == ["2,short", "3,a,6,long"]
+
+
+def test_other_column_order_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,product_name,total_value\n1,p,5\n")
+    (tmp_path / "b.csv").write_text("product_name,id,total_value\nq,2,6\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_contracts_csv(spark, str(tmp_path)).collect()
+
+
+def test_dates_with_time(spark):
+    from contractlens.functions.scalars import parse_when
+
+    texts = ["1/4/2026 09:30:15", "2026-04-01 09:30", "01-04-2026 09:30", "2026-04-01T09:30:00", "01-04-2026 09:30:01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.w for r in df.select(parse_when(F.col("t")).alias("w")).collect()]
+    base = dt.datetime(2026, 4, 1, 9, 30)
+    assert got == [base.replace(second=15), base, base, base, base.replace(second=1)]
+
+
+def test_old_ledger_counts_as_done(spark, tmp_path):
+    old = ledger(spark, (1, 2, 2, 1, "x")).drop("note", "rows")
+    tables.write_batch(old, str(tmp_path / "ledger"), "0")
+    read = tables.read_ledger(spark, str(tmp_path / "ledger"))
+    windows = read.select("from_date", "to_date")
+    row = coverage.coverage(windows, read).first()
+    assert (row.windows_done, row.windows_pending) == (1, 0)
+    assert coverage.pending_windows(windows, read).count() == 0
+
+
+def test_recheck_visits_assumed_windows_again(spark):
+    log = ledger(spark, (1, 0, 0, 1, "zero_assumed"), (2, 2, 2, 1, "normal"))
+    windows = log.select("from_date", "to_date")
+    assert coverage.pending_windows(windows, log).count() == 0
+    assert coverage.pending_windows(windows, log, recheck=True).count() == 1
