@@ -37,7 +37,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    encoded = tokens.encode(docs, *vocab).drop("text")
+    encoded = tokens.encode(docs, *vocab, keep_text=False)
     return tokens.decode(encoded, *vocab).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

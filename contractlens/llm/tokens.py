@@ -4,24 +4,26 @@ Long texts are cut into chunks that overlap on both sides.  Each chunk is
 pre-tokenised by itself, in parallel.  Two neighbours scan the same overlap
 from different starts; as every pre-token depends only on the text from its
 begin on, they agree from the first boundary they share, and are stitched
-there.  The pieces are then encoded one by one, each distinct piece once per
-task, and decoding concatenates the bytes of the ids.
+there.  The pieces are then encoded one by one, frequent ones from memory, and
+decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contractlens.llm.common import by_slice
-from contractlens.operators.scale import durable
+from contractlens.operators.scale import attach, durable
 
 CHUNK = 16_384
 OVERLAP = 1_024
@@ -36,69 +38,41 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.bytes = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
+        ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self.bytes = pa.array(by_id, pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: join the neighbours of the lowest rank, leftmost first, until none is known."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        if len(parts) > 256:
-            return self._merge_long(parts)
-        get = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
-        """The same merges for long pieces, by a heap over a linked list."""
-        import heapq
-
-        n, get = len(parts), self.ranks.get
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(rank, i, parts[i], parts[i + 1]) for i in range(n - 1) if (rank := get(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        whole: list[bytes | None] = list(parts)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if whole[i] != left or j < 0 or whole[j] != right:
-                continue
-            whole[i], whole[j] = left + right, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (rank := get(whole[a] + whole[b])) is not None:
-                    heapq.heappush(heap, (rank, a, whole[a], whole[b]))
-        return [self.ranks[p] for p in whole if p is not None]
-
-    def encode(self, pieces: list[str]) -> list[int]:
-        known, out = self.known, []
-        for piece in pieces:
+        # joins the bytes of one piece by rank
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in a row, and how many each piece has; each distinct piece is merged once."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        known, found = self.known, []
+        for piece in coded.dictionary.to_pylist():
             ids = known.get(piece)
             if ids is None:
-                ids = self.merge(piece.encode())
+                ids = self.merge(piece)
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+            found.append(ids)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        own = coded.indices.to_numpy()
+        counts = lengths[own] if len(found) else np.zeros(0, np.int64)
+        begin = (np.cumsum(lengths) - lengths)[own] if len(found) else counts
+        at = np.arange(int(counts.sum())) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+        return flat[at], counts
+
+    def decode(self, ids: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+        """The bytes of all ids in a row, and where those of each id begin (and the end)."""
+        taken = self.bytes.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        return taken.buffers()[2], offsets
 
 
 @lru_cache(maxsize=2)
@@ -106,127 +80,139 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
-    """Where pre-tokens begin, and the end of the last."""
-    return [0, *(m.end() for m in pattern.finditer(text))]
+def split(vocab: Vocabulary, text: str) -> tuple[list[str], np.ndarray]:
+    """Pre-tokens of a text, and where each ends."""
+    pieces = vocab.pattern.findall(text)
+    return pieces, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
 
-def meeting(left: list[int], right: list[int], last: int) -> int:
-    """First boundary of both scans that is at most ``last``, or -1."""
-    common = np.intersect1d(left, right)
-    common = common[common <= last]
+def meeting(left: np.ndarray, right: np.ndarray) -> int:
+    """First boundary of both scans, or -1. The last of each may be cut and does not count."""
+    common = np.intersect1d(left[:-1], right[:-1])
     return int(common[0]) if len(common) else -1
 
 
+_LISTS = pa.list_(pa.int32())
+_CHUNK = {"key": pa.string(), "k": pa.int32(), "stop": pa.int32(), "head": _LISTS, "head_n": _LISTS, "ids": _LISTS}
+CHUNKS = "key string, k int, stop int, head array<int>, head_n array<int>, ids array<int>"
+
+
+def _lists(values: np.ndarray, sizes) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
 def _encode_chunks(path: str, pattern: str):
-    """Chunk rows to ids: those before the place where this chunk takes over from the last are left open.
+    """Chunk rows to ids up to where the next chunk takes over.
 
     A chunk sees ``OVERLAP`` characters before and after its own part.  It
     scans the part's end as its successor will, and so knows where the
-    successor takes over (``stop``).  Its own first pieces, up to there where
-    its predecessor must have handed over, are returned one by one.
+    successor takes over (``stop``).  Its own first pieces, as far as there
+    its predecessor may hand over, are told apart (``head``, with the number
+    of ids of each), so that the ids before that place can be dropped.
     """
 
     def work(batch):
         vocab = vocabulary(path, pattern)
-        out = []
-        for key, k, last, before, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            ends = boundaries(vocab.pattern, text)
+        pieces, counts, stops, heads = [], [], [], []
+        ks, lasts = batch.column("k").to_pylist(), batch.column("last").to_pylist()
+        for k, last, before, text in zip(ks, lasts, batch.column("before").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own, ends = split(vocab, text)
             stop = len(text)
             if k < last:
                 begin = before + CHUNK - OVERLAP  # where the successor's text begins
-                other = [begin + x for x in boundaries(vocab.pattern, text[begin:])]
-                # the last pre-token of a cut text may be cut itself
-                stop = meeting([x for x in ends[:-2] if x >= begin], other[1:-2], len(text) - 2)
-            head_end = 2 * OVERLAP if k else 0
-            at = np.asarray(ends)
-            if stop < 0:
-                out.append((key, k, last, -1, [], [], []))
-                continue
-            head = at[(at < head_end) & (at < stop)].tolist()
-            first = len(head)
-            rest = at[(at >= (head[-1] if head else 0)) & (at <= stop)].tolist()
-            starts = head + rest[1 if head else 0 :] if head else rest
-            head_ids = [vocab.encode([text[a:b]]) for a, b in zip(starts[:first], starts[1 : first + 1], strict=False)]
-            body = starts[first:]
-            ids = vocab.encode([text[a:b] for a, b in zip(body[:-1], body[1:], strict=True)])
-            out.append((key, k, last, stop, head, head_ids, ids))
-        columns = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK_TYPES, strict=True)], names=_CHUNK_NAMES)
+                stop = meeting(ends[ends > begin], begin + split(vocab, text[begin:])[1])
+            own = own[: int(np.searchsorted(ends, stop, "right"))]
+            starts = np.concatenate([[0], ends])[: len(own)]
+            heads.append(starts[starts < 2 * OVERLAP] if k else starts[:0])
+            pieces += own
+            counts.append(len(own))
+            stops.append(stop)
+        ids, n = vocab.encode(pieces)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(n)])
+        head_n = [n[a : a + len(h)] for a, h in zip(first[:-1], heads, strict=True)]
+        sizes = [len(h) for h in heads]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("key"), pa.array(ks, pa.int32()), pa.array(stops, pa.int32()),
+                _lists(np.concatenate(heads), sizes), _lists(np.concatenate(head_n), sizes), _lists(ids, np.diff(total[first])),
+            ],
+            schema=pa.schema(list(_CHUNK.items())),
+        )
 
     return work
 
 
-_CHUNK_NAMES = ["key", "k", "last", "stop", "head", "head_ids", "ids"]
-_CHUNK_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32())]
-CHUNKS = "key string, k int, last int, stop int, head array<int>, head_ids array<array<int>>, ids array<int>"
-
-
-def _encode_rows(path: str, pattern: str, text: str, skip: str | None):
-    """Add the ids of each whole text that is not longer than a chunk."""
+def _encode_rows(path: str, pattern: str, text: str, keep_text: bool):
+    """Add the ids of each whole text."""
 
     def work(batch):
         vocab = vocabulary(path, pattern)
-        find = vocab.pattern.findall
-        texts = pc.fill_null(batch.column(text), "").to_pylist()
-        left = batch.column(skip).to_pylist() if skip else [None] * len(texts)
-        ids = [None if leave is not None else vocab.encode(find(t)) for t, leave in zip(texts, left, strict=True)]
-        return batch.append_column("__ids", pa.array(ids, pa.list_(pa.int32())))
+        found = [vocab.pattern.findall(t) for t in pc.fill_null(batch.column(text), "").to_pylist()]
+        ids, n = vocab.encode([*chain.from_iterable(found)])
+        total = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum([0, *map(len, found)])
+        made = batch.append_column("__ids", _lists(ids, np.diff(total[ends])))
+        return made if keep_text else made.drop_columns([text])
 
     return by_slice(text, work)
 
 
 def encode_long(texts: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``key, ids`` for rows ``key, text`` of any length, by overlapping chunks; keys are distinct.
+    """``key, ids`` of rows ``key, text`` of any length, by overlapping chunks; equal rows are encoded once.
 
-    A text whose neighbours share no boundary in an overlap (a run of more
-    than ``OVERLAP`` letters, say) is encoded as a whole instead.
+    ``ids`` is NULL where two neighbours share no boundary in an overlap (in a
+    run of more than ``OVERLAP`` letters, say).
     """
-    n = F.length("text")
-    last = F.greatest(F.ceil(n / CHUNK).cast("int") - 1, F.lit(0))
+    last = F.greatest(F.ceil(F.length("text") / CHUNK).cast("int") - 1, F.lit(0))
     chunks = texts.select("key", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
     begin = F.greatest(F.col("k") * CHUNK - OVERLAP, F.lit(0))
     own = F.col("k") * CHUNK - begin
     part = F.substring(F.col("text"), begin + 1, own + F.lit(CHUNK + OVERLAP))
-    cut = chunks.select("key", "k", "last", own.alias("before"), part.alias("text")).repartition("key", "k")
-    done = durable(cut.mapInArrow(by_slice("text", _encode_chunks(path, pattern)), CHUNKS))
-    lost = done.where("stop < 0").select("key").distinct()
-    # the stop of chunk k - 1, in the coordinates of chunk k
-    came = done.select("key", (F.col("k") + 1).alias("k"), F.when(F.col("k") == 0, F.col("stop") - (CHUNK - OVERLAP)).otherwise(F.col("stop") - CHUNK).alias("came"))
-    joined = done.join(lost, "key", "left_anti").join(came, ["key", "k"], "left")
-    kept = F.flatten(
-        F.transform(
-            F.filter(F.arrays_zip(F.col("head").alias("a"), F.col("head_ids").alias("b")), lambda z: F.col("came").isNull() | (z["a"] >= F.col("came"))),
-            lambda z: z["b"],
-        )
-    )
-    parts = joined.select("key", F.struct("k", F.concat(kept, "ids").alias("ids")).alias("part"))
-    whole = parts.groupBy("key").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("ids")
-    )
-    again = texts.join(lost, "key", "left_semi").select("key", "text").mapInArrow(
-        _encode_rows(path, pattern, "text", None), "key string, text string, __ids array<int>"
-    )
-    return whole.unionByName(again.select("key", F.col("__ids").alias("ids")))
-
-
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    cut = chunks.select("key", "k", "last", own.alias("before"), part.alias("text")).dropDuplicates(["key", "k"])
+    done = cut.mapInArrow(by_slice("text", _encode_chunks(path, pattern)), CHUNKS)
+    parts = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "stop", "head", "head_n", "ids"))).alias("parts"))
+
+    def kept(p, i):
+        """Ids of a chunk from where its predecessor stops, in its own coordinates."""
+        stop = F.try_element_at(F.col("parts"), i)["stop"] - F.when(i == 1, CHUNK - OVERLAP).otherwise(CHUNK)
+        pairs = F.filter(F.arrays_zip(p["head"].alias("at"), p["head_n"].alias("n")), lambda z: z["at"] < stop)
+        before = F.aggregate(pairs, F.lit(0), lambda a, z: a + z["n"])
+        return F.when(i == 0, p["ids"]).otherwise(F.slice(p["ids"], before + 1, F.size(p["ids"])))
+
+    whole = F.flatten(F.transform("parts", kept))
+    return parts.select("key", F.when(~F.exists("parts", lambda p: p["stop"] < 0), whole).alias("ids"))
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``df`` with the token ids of each whole text in the column ``ids``.
 
     Texts up to a chunk are encoded where they are; only longer ones are cut,
     spread and joined back.  NULL and empty texts have no ids.  Rows are kept
-    one for one; equal long texts are encoded once.  ``path`` must be readable
+    one for one; equal long texts are encoded once; a column named as the
+    result is replaced.  Without ``keep_text`` the text is left out, and the
+    ids of long texts need not move to their rows.  ``path`` must be readable
     on the executors.
     """
     df = df.drop(ids) if ids in df.columns and ids != text else df
-    long = F.length(text) > CHUNK
-    keyed = df.withColumn("__key", F.when(long, F.concat(F.md5(text), F.lit("-"), F.length(text))))
-    schema = keyed.withColumn("__ids", F.lit(None).cast("array<int>")).schema
-    near = keyed.where(F.coalesce(~long, F.lit(True))).mapInArrow(_encode_rows(path, pattern, text, None), schema)
-    far = keyed.where(long)
-    texts = far.groupBy(F.col("__key").alias("key")).agg(F.first(text).alias("text"))
-    found = encode_long(texts, path, pattern).select(F.col("key").alias("__key"), F.col("ids").alias("__ids"))
-    return near.unionByName(far.join(found, "__key")).drop("__key").withColumnRenamed("__ids", ids)
+    long = F.coalesce(F.length(text) > CHUNK, F.lit(False))
+    out = df if keep_text else df.drop(text)
+    schema = out.withColumn("__ids", F.lit(None).cast("array<int>")).schema
+    encode_rows = _encode_rows(path, pattern, text, keep_text)
+    far = df.where(long).withColumn("__key", F.concat(F.md5(text), F.lit("-"), F.length(text)))
+    found = durable(encode_long(far.select(F.col("__key").alias("key"), F.col(text).alias("text")), path, pattern))
+    found = found.select(F.col("key").alias("__key"), F.col("ids").alias("__ids"))
+    done = found.where("__ids IS NOT NULL")
+    if keep_text:
+        joined = far.join(done, "__key")
+    else:
+        joined = attach(done, far.drop(text), ["__key"])
+    made = df.where(~long).mapInArrow(encode_rows, schema).unionByName(joined.select(schema.names))
+    lost = found.where("__ids IS NULL").select("__key")
+    if not lost.isEmpty():
+        made = made.unionByName(far.join(lost, "__key", "left_semi").select(df.columns).mapInArrow(encode_rows, schema))
+    return made.withColumnRenamed("__ids", ids)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "data") -> DataFrame:
@@ -238,8 +224,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str =
             at = batch.schema.get_field_index(ids)
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                made = [vocab.decode(x or []) for x in part.column(at).to_pylist()]
-                yield part.append_column(data, pa.array(made, pa.binary()))
+                n = pc.fill_null(pc.list_value_length(part.column(at)), 0).to_numpy(zero_copy_only=False)
+                raw, offsets = vocab.decode(part.column(at).flatten().to_numpy(zero_copy_only=False))
+                ends = offsets[np.concatenate([[0], np.cumsum(n, dtype=np.int64)])].astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), raw])
+                yield part.append_column(data, made)
 
     df = df.drop(data) if data in df.columns else df
     return df.mapInArrow(work, df.withColumn(data, F.lit(None).cast("binary")).schema)
