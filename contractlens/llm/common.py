@@ -54,11 +54,9 @@ def by_slice(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return run
 
 
-def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a slice, one after another, and where each text's words begin (n + 1 offsets)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -69,13 +67,15 @@ def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
     return words, offsets
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, the same on every executor."""
+def word_hashes(words: pa.Array, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, the same on every executor; ``lower`` takes A-Z as a-z."""
     coded = words.dictionary_encode()
-    known = np.asarray(coded.dictionary.to_pylist(), dtype=object)
-    if not len(known):
+    known = coded.dictionary.to_pylist()
+    if lower:  # of bytes, as only ASCII letters change there
+        known = [word.encode().lower().decode() for word in known]
+    if not known:
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(known, categorize=False)[coded.indices.to_numpy()]
+    return pd.util.hash_array(np.asarray(known, dtype=object), categorize=False)[coded.indices.to_numpy()]
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ def run_hashes(hashes: np.ndarray, words: int = SHINGLE) -> np.ndarray:
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Per text its distinct 5-word shingles, sorted; shorter texts give their whole word sequence."""
     words, offsets = word_lists(texts)
-    hashes = word_hashes(words)
+    hashes = word_hashes(words, lower=True)
     runs = run_hashes(hashes)
     sets = []
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

@@ -65,7 +65,7 @@ def _dup_lines(text: str) -> int:
 def _measure(text: str):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.fill_null(batch.column(text), "")
-        words, offsets = word_lists(texts, lower=False)
+        words, offsets = word_lists(texts)
         hashes = word_hashes(words)
         chars = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
         symbols = pc.count_substring_regex(texts, "[#*$%&|<>]").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -213,3 +213,63 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     """
     own = base_measures(df, text)
     return judge_measured(durable(own.select(lang, source, *BASE)), lang, source, own)
+
+
+def oracle_sql() -> str:
+    """DuckDB's form of the judgement of ``documents``."""
+    values = "\nUNION ALL ".join(
+        f"SELECT doc_id, lang, source, '{m}' AS measure, CAST(floor({scale} * {column} / greatest(n_words, 1)) AS BIGINT) AS v, {slack} AS slack, {str(low).lower()} AS low FROM judged"
+        for (m, (slack, low)), (scale, column) in zip(
+            MEASURES.items(), [(1000, "n_symbols"), (1000, "n_dup_lines"), (1000, "n_repeat_words"), (100, "word_chars")], strict=True
+        )
+    )
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""
+), {name}_sums AS (
+    SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS texts
+    FROM (SELECT {by}measure, bucket, count(*) AS n FROM buckets GROUP BY ALL)
+), {name} AS (
+    SELECT {by}measure, any_value(texts) AS texts, min(bucket) FILTER (seen >= (texts + 3) // 4) AS q1,
+        min(bucket) FILTER (seen >= (texts * 3 + 3) // 4) AS q3
+    FROM {name}_sums GROUP BY ALL"""
+
+    return f"""
+WITH w AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), runs AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n
+    FROM (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + j) AS n FROM runs, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+    WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), base AS (
+    SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+    FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+    SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM base
+), measured AS (
+    {values}
+), buckets AS (
+    SELECT m.*, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket
+    FROM measured m JOIN judged USING (doc_id) WHERE NOT base_failed{level("own", "lang, source")}{level("of_lang", "lang")}{level("of_all", "")}
+), fenced AS (
+    SELECT m.doc_id, m.v, m.slack, m.low,
+        CASE WHEN o.texts >= {LEAST_TEXTS} THEN o.q1 WHEN l.texts >= {LEAST_TEXTS} THEN l.q1 ELSE a.q1 END AS q1,
+        CASE WHEN o.texts >= {LEAST_TEXTS} THEN o.q3 WHEN l.texts >= {LEAST_TEXTS} THEN l.q3 ELSE a.q3 END AS q3
+    FROM measured m
+    LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source AND o.measure = m.measure
+    LEFT JOIN of_lang l ON l.lang IS NOT DISTINCT FROM m.lang AND l.measure = m.measure
+    LEFT JOIN of_all a ON a.measure = m.measure
+), inside AS (
+    SELECT doc_id, bool_and(coalesce(v <= q3 + {FENCE} * greatest(q3 - q1, slack), true)
+        AND (NOT low OR coalesce(v >= q1 - {FENCE} * greatest(q3 - q1, slack), true))) AS ok
+    FROM fenced GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND ok AS kept FROM judged JOIN inside USING (doc_id)
+"""

@@ -45,7 +45,7 @@ def feature_sets(texts: pa.Array) -> list[np.ndarray]:
     """The distinct features of each whole text: its words in lower case without outer punctuation."""
     words, offsets = word_lists(texts)
     bare = pa.compute.utf8_trim(words, characters=".,;:!?\"'()[]{}<>|*#$%&_-")
-    at = (mixed(word_hashes(bare)) % np.uint64(FEATURES)).astype(np.int32)
+    at = (mixed(word_hashes(bare, lower=True)) % np.uint64(FEATURES)).astype(np.int32)
     return [np.unique(at[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
