@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from contractlens.operators.scale import BROADCAST_BYTES, durable, measured_bytes
 
 # A task looks at no more text than this at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Near duplicates: words in a shingle, and the least similarity in per cent.
 SHINGLE = 5
@@ -67,15 +66,29 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, offsets
 
 
+# a random value for each byte, and the same with A-Z taken as a-z
+_BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = _BYTES[np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])]
+_BASE = 0x9E3779B97F4A7C15
+
+
 def word_hashes(words: pa.Array, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, the same on every executor; ``lower`` takes A-Z as a-z."""
-    coded = words.dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    if lower:  # of bytes, as only ASCII letters change there
-        known = [word.encode().lower().decode() for word in known]
-    if not known:
+    """A 64-bit hash of each word (a polynomial of its bytes), the same on every executor; ``lower`` takes A-Z as a-z."""
+    n = len(words)
+    if not n:
         return np.zeros(0, np.uint64)
-    return pd.util.hash_array(np.asarray(known, dtype=object), categorize=False)[coded.indices.to_numpy()]
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    powers = np.cumprod(np.full(int(lengths.max()) + 1, _BASE, np.uint64))
+    at = np.arange(len(data)) - np.repeat(starts, lengths)
+    values = (_LOWER if lower else _BYTES)[data] * powers[at]
+    sums = np.zeros(n, np.uint64)
+    full = np.flatnonzero(lengths)
+    if len(full):  # empty words have no bytes to add up
+        sums[full] = np.add.reduceat(values, starts[full])
+    return mixed(sums + lengths.astype(np.uint64))
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
