@@ -9,7 +9,7 @@ drops most others before the sets are compared, and each pair is compared
 once.
 
 Groups of copies are folded first: equal sets become one, and each shared
-prefix shingle links its members to the smallest one, not to each other.  What
+prefix shingle links its members to a few of them, not to each other.  What
 is linked already needs no further pair; only prefix shingles whose members
 still lie in different classes are joined in full.  So no group is expanded
 into all its pairs, and no link between classes is lost.
@@ -22,9 +22,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contractlens.llm.common import PERCENT, by_slice, intersection, limited, mixed, shingle_sets
+from contractlens.llm.common import PERCENT, SHINGLE, by_slice, intersection, limited, mixed, shingle_sets
 from contractlens.llm.components import components
 from contractlens.operators.scale import durable
 
@@ -33,30 +34,21 @@ from contractlens.operators.scale import durable
 COUNTERS = 1 << 22
 SEGMENTS = 64
 
-# Rounds that link members of a shingle to the smallest one before the full join.
-STAR_ROUNDS = 2
+# Rounds at most that link members of a shingle to a few of them before the full join.
+STAR_ROUNDS = 3
+OFFERS = 4
 
 
 def prints(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit print of each set, by which equal sets are known; 0 for empty ones."""
-    values = np.array([int(mixed(s + np.uint64(len(s))).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
+    lengths = np.array([len(s) for s in sets], np.int64)
+    values, full = np.zeros(len(sets), np.uint64), np.flatnonzero(lengths)
+    if len(full):
+        flat = mixed(np.concatenate(sets) + np.repeat(lengths, lengths).astype(np.uint64))
+        values[full] = np.add.reduceat(flat, (np.cumsum(lengths) - lengths)[full])
     return values.view(np.int64)
 
 
-def _set_rows(key: str, text: str):
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(text))
-        sizes = pa.array([len(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("t"), sizes, pa.array(prints(sets))], names=["key", "t", "n", "node"])
-
-    return by_slice(text, work)
-
-
-def set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, t, n, node``: hash of the row (given), size of its set, and the set's print."""
-    return docs.select(key, "t", text).mapInArrow(_set_rows(key, text), "key long, t long, n long, node long")
-
-
 def _pack(counts: np.ndarray) -> bytes:
     return zlib.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), 1)
 
@@ -66,28 +58,43 @@ def _segments(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "counts"])
 
 
-def _count(text: str):
-    """Each task counts the shingles of its texts, a set once, and returns the segments it has touched."""
+SET_ROWS = "key long, t long, n long, node long, segment int, counts binary"
+
+
+def _set_rows(text: str):
+    """A row for each text; and, last, the segments of a sketch that counts the shingles of the task's sets."""
 
     def run(batches):
         counts, size = np.zeros(COUNTERS, np.int64), COUNTERS // SEGMENTS
 
-        def add(part):
-            sets = [s for s in shingle_sets(part.column(text)) if len(s)]
-            if sets:
+        def work(part):
+            sets = shingle_sets(part.column(text))
+            if any(map(len, sets)):
                 at, n = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
                 counts[at.astype(np.int64)] += n
+            columns = [part.column("key"), part.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints(sets))]
+            return _row_batch(columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
 
-        for _ in by_slice(text, add)(batches):
-            pass
+        yield from by_slice(text, work)(batches)
         touched = {s: counts[s * size : (s + 1) * size] for s in range(SEGMENTS)}
         touched = {s: c for s, c in touched.items() if c.any()}
         if touched:
-            yield _segments(touched)
+            found = _segments(touched)
+            yield _row_batch([pa.nulls(len(touched), pa.int64())] * 4, found.column(0), found.column(1))
 
     return run
 
 
+def _row_batch(rows: list[pa.Array], segment: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows, segment, counts], names=["key", "t", "n", "node", "segment", "counts"])
+
+
+def read_sets(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """In one pass over ``key, t, text``: ``key, t, n, node`` (size and print of each row's set), and parts of the rarity sketch."""
+    both = durable(docs.select("key", "t", text).mapInArrow(_set_rows(text), SET_ROWS))
+    return both.where("segment IS NULL").select("key", "t", "n", "node"), both.where("segment IS NOT NULL").select("segment", "counts")
+
+
 def _sum_segments(batches):
     """Sum the counters of each segment; a task holds one array per segment it gets."""
     sums: dict[int, np.ndarray] = {}
@@ -99,15 +106,14 @@ def _sum_segments(batches):
         yield _segments(sums)
 
 
-def rarity(docs: DataFrame, text: str) -> np.ndarray:
+def rarity(parts: DataFrame) -> np.ndarray:
     """Counters of how many sets hold a shingle of each residue, from all rows.
 
-    Each task's counters are summed in two steps, so that no task sums more
+    The tasks' sketches are summed in two steps, so that no task sums more
     than a fraction of the parts of a segment.  The result has a fixed size.
     """
     schema = "segment int, counts binary"
-    parts = docs.select(text).mapInArrow(_count(text), schema)
-    part = F.pmod(F.spark_partition_id(), F.lit(16))
+    part = F.pmod(F.xxhash64("counts"), F.lit(16))
     halfway = parts.repartition(SEGMENTS, "segment", part).mapInArrow(_sum_segments, schema)
     counts, size = np.zeros(COUNTERS, np.int32), COUNTERS // SEGMENTS
     # at most one row per segment, 16 MB in all
@@ -218,54 +224,64 @@ def _with_class(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
 
 
-def _enough_shared() -> Column:
-    """May two sets of ``n`` and ``m`` that share ``c`` prefix shingles reach the threshold?
+def _enough_shared(c: Column) -> Column:
+    """May two sets of ``n`` and ``m`` that share at most ``c`` prefix shingles reach the threshold?
 
     Of the two prefixes, the shingles of the one that ends first in the global
     order can only be shared within the other prefix; so no more than ``c``
     and what lies behind one of the prefixes is shared.
     """
     behind = lambda n: F.floor((PERCENT * F.col(n) + 99) / 100) - 1
-    most = F.col("c") + F.greatest(behind("n"), behind("m"))
+    most = c + F.greatest(behind("n"), behind("m"))
     return 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
 
 
-def shared_prefixes(docs: DataFrame, text: str) -> DataFrame:
+def shared_prefixes(docs: DataFrame, text: str, counts) -> DataFrame:
     """``shingle, node, n, i`` of prefix shingles that two sets or more have in their prefixes."""
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))
     prefixes = docs.select(text).mapInArrow(_prefix_rows(text, counts), "shingle long, node long, at long")
     shared = prefixes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     rows = limited(prefixes, shared, ["shingle"])
     return rows.select("shingle", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("i")).distinct()
 
 
-def link_classes(docs: DataFrame, heads: DataFrame, text: str) -> DataFrame:
+def link_classes(docs: DataFrame, heads: DataFrame, text: str, counts) -> DataFrame:
     """``node, root`` of nodes that are not the root of their class.
 
-    Rounds of stars first: each prefix shingle offers its members the smallest
-    node of the smallest class it holds.  What they link is not paired again.
-    The last round joins all members of different classes.
+    Rounds of stars first: each prefix shingle offers its members a few of them,
+    in each round others by a hash, so that members of one group meet the
+    same few.  What they link is not paired again.  When a round links nothing,
+    or after ``STAR_ROUNDS``, all members of different classes are joined.
     """
-    rows = durable(shared_prefixes(docs, text))
-    links, roots = None, None
+    rows = durable(shared_prefixes(docs, text, counts))
+    links, roots, last = None, None, False
     for step in range(STAR_ROUNDS + 1):
-        now = durable(_with_class(rows, roots))
+        last = last or step == STAR_ROUNDS
+        now = _with_class(rows, roots)
         least, most = F.min("class").alias("least"), F.max("class").alias("most")
-        mixed = now.groupBy("shingle").agg(least, most).where("least < most")
-        now = durable(now.join(mixed.select("shingle", "least"), "shingle"))
-        heads_of = now if step == STAR_ROUNDS else (
-            now.where(F.col("class") == F.col("least")).groupBy("shingle").agg(F.min(F.struct("node", "class", "n", "i")).alias("h")).select("shingle", "h.*")
+        mixed = now.groupBy("shingle").agg(least, most).where("least < most").select("shingle")
+        # no two sets share more prefix shingles than either has left here
+        left = F.count("*").over(W.partitionBy("node"))
+        now = durable(now.join(mixed, "shingle").withColumn("c", left))
+        seeds = [F.xxhash64("node", F.lit(OFFERS * step + k)) for k in range(OFFERS)]
+        firsts = F.array_distinct(F.array(*[F.min_by(F.struct("node", "class", "n", "i", "c"), seed) for seed in seeds]))
+        offered = now if last else now.groupBy("shingle").agg(firsts.alias("h")).select("shingle", F.explode("h").alias("h")).select("shingle", "h.*")
+        other = offered.select(
+            "shingle", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d")
         )
-        other = heads_of.select("shingle", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("n").alias("m"), F.col("i").alias("j"))
-        near = (F.col("class") > F.col("b_class")) & _may_reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"))
-        met = now.select("shingle", F.col("node").alias("a"), "n", "i", "class").join(other, "shingle").where(near)
-        pairs = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(_enough_shared()).select("a", "b")
-        pairs = durable(pairs)
-        if pairs.isEmpty():
+        apart = F.col("class") > F.col("b_class") if last else F.col("class") != F.col("b_class")
+        near = apart & _may_reach(F.col("n"), F.col("i"), F.col("m"), F.col("j")) & _enough_shared(F.least("c", "d"))
+        met = now.select("shingle", F.col("node").alias("a"), "n", "i", "class", "c").join(other, "shingle").where(near)
+        shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both")).where(_enough_shared(F.col("both")))
+        pairs = durable(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = None if pairs.isEmpty() else durable(verified(pairs, docs, heads, text))
+        if found is not None and not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = durable(components(links))
+        elif not last:
+            last = True
             continue
-        found = durable(verified(pairs, docs, heads, text))
-        links = found if links is None else links.unionByName(found)
-        roots = durable(components(links))
+        if last:
+            break
     return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
@@ -281,11 +297,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     named = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     named = named.withColumn("t", F.xxhash64("key", "text"))
-    sized = durable(set_rows(named, "key", "text"))
+    sized, sketch = read_sets(named, "text")
+    counts = docs.sparkSession.sparkContext.broadcast(rarity(sketch))
     heads = durable(
         sized.where("n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("k"), "key", "t")).alias("h")).select("node", "h.key", "h.t")
     )
-    roots = link_classes(named.where("text IS NOT NULL"), heads, "text")
+    roots = link_classes(named.where("text IS NOT NULL"), heads, "text", counts)
     classes = durable(_with_class(heads.select("node", "key"), roots))
     least = classes.groupBy("class").agg(F.min("key").alias("component"))
     found = classes.join(least, "class").select("node", "component")
@@ -293,3 +310,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return joined.select(
         F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id")
     )
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i : i + {SHINGLE - 1}], ' ') AS shingle
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""

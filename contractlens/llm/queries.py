@@ -90,5 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.ORACLE,
+        "op3_quality": quality.oracle_sql(),
+        "op4_jaccard": jaccard.ORACLE,
         "op7_mixing": mixing.oracle_sql(),
     }

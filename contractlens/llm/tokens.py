@@ -29,7 +29,7 @@ CHUNK = 16_384
 OVERLAP = 1_024
 
 # Distinct pieces whose ids a task remembers; others are encoded again.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Vocabulary:
