@@ -11,7 +11,9 @@ from html import unescape
 
 # What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object select button canvas audio video".split())
+RAW = frozenset("script style title textarea noembed noframes xmp".split())
+# elements whose content is no text of the page; an enclosing end tag closes them
+EMBEDDED = frozenset("noscript template iframe svg math object select button canvas audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -156,8 +158,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         name = m[0].lower()
         attributes, at = _attributes(html, m.end())
         if name in RAW:
-            if name not in ("svg", "math", "button", "select"):
-                flush()
+            flush()
             end = re.compile(rf"</{name}\b", re.I).search(html, at)
             if not end:
                 at = n
@@ -165,6 +166,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 close_at = html.find(">", end.end())
                 at = n if close_at < 0 else close_at + 1
             continue
+        if name in EMBEDDED and html[at - 2 : at] == "/>":
+            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -173,7 +176,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         if name in ENDS_P:
-            close("p", SCOPES)
+            close("p", SCOPES | EMBEDDED)
         if name == "li":
             close("li", frozenset(("ul", "ol", "menu")))
         elif name in ("td", "th", "tr"):
@@ -181,7 +184,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 close(cell, frozenset(("table",)))
         inside = place
         if inside != BESIDE:
-            if _marked(name, attributes) or (name in ASIDE and not (name == "header" and inside == MAIN)):
+            if name in EMBEDDED or _marked(name, attributes) or (name in ASIDE and not (name == "header" and inside == MAIN)):
                 inside = BESIDE
             elif _is_main(name, attributes):
                 inside = MAIN
