@@ -29,9 +29,6 @@ from contractlens.operators.scale import durable
 RUN = 5
 COVERED = 0.5
 
-# Beside an article, an open block must have this many words to be main text.
-LEAST_WORDS = 25
-
 
 def host(url: str | None) -> str:
     try:
@@ -62,7 +59,6 @@ def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, ranges = _stream(page)
         runs = run_hashes(hashes, min(RUN, len(hashes))) if len(hashes) else hashes
         runs = runs.view(np.int64).tolist()
-        has_main = any(place == MAIN for place, _ in page)
         kept, k = [], 0
         for place, text in page:
             if place == MAIN:
@@ -70,7 +66,7 @@ def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
                 continue
             begin, end = ranges[k]
             k += 1
-            if place == OPEN and not (has_main and end - begin < LEAST_WORDS):
+            if place == OPEN:
                 near = range(max(0, begin - RUN + 1), min(end, len(runs)))
                 suffixes = [{"at": i - begin, "run": runs[i]} for i in near]
                 kept.append({"open": True, "words": end - begin, "suffixes": suffixes, "text": text})

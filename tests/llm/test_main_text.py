@@ -15,3 +15,18 @@ PAGE = "page_id long, url string, html string"
 def test_embedded_elements_do_not_cut_the_page(piece):
     got = [text for place, text in blocks(f"<article><p>One</p>{piece}<p>Two</p><p>Three</p></article>") if place != BESIDE]
     assert got == ["One", "Two", "Three"]
+
+
+def story(i, n=30):
+    return " ".join(f"word{i}x{k}" for k in range(n))
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+
+
+def test_short_unique_blocks_beside_an_article_stay(spark):
+    menu = "Home News Sport Culture Opinion Archive"
+    page = lambda i: f"<body><div>{menu}</div><h1>Headline {story(i, 4)}</h1><article><p>{story(i + 10)}</p></article><p>The end {story(i + 20, 3)}</p></body>"
+    got = texts(spark, [(i, f"http://h/{i}", page(i)) for i in range(3)])
+    assert got[1] == f"Headline {story(1, 4)} {story(11)} The end {story(21, 3)}"
