@@ -1,14 +1,14 @@
 """Main text of web pages, by repeated runs of a host.
 
-Elements settle what they can: text in an article is main text, text in menus,
-footers, adverts and the like is not.  All text outside articles is taken as
-the page's token stream, and the streams of a host form one suffix array: its
-suffixes, sorted by their first RUN tokens.  Neighbours that agree in these
-and come from distinct pages are repeats, and the union of such repeats is what
-all longer repeats cover too, so the order beyond RUN tokens is not needed and
-suffixes can be grouped by a hash of these tokens, with map-side combine, on
-as many tasks as one likes for any host.  Open blocks covered by repeats are
-boilerplate; unique ones are kept.
+All text of a page is its token stream, and the streams of a host form one
+suffix array: its suffixes, sorted by their first RUN tokens.  Neighbours that
+agree in these and come from pages of different content are repeats, and the
+union of such repeats is what all longer repeats cover too, so the order beyond
+RUN tokens is not needed and suffixes can be grouped by a hash of these tokens,
+with map-side combine, on as many tasks as one likes for any host.  Blocks
+covered by repeats are boilerplate; unique ones are kept.  Elements are a hint:
+menus, footers, adverts and the like are not main text, and an article that is
+mostly repeated is taken as another edition of it, not as boilerplate.
 """
 
 from __future__ import annotations
@@ -21,13 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractlens.llm.common import by_slice, run_hashes, word_hashes
-from contractlens.llm.markup import BESIDE, MAIN, OPEN, blocks
+from contractlens.llm.common import by_slice, limited, mixed, run_hashes, word_hashes
+from contractlens.llm.markup import BESIDE, MAIN, blocks
 from contractlens.operators.scale import durable
 
-# Tokens of the shortest repeat, and the share of a block that repeats must cover.
+# Tokens of the shortest repeat. A block is boilerplate if repeats cover all of it, or
+# this share of it with at least so many tokens in a row.
 RUN = 5
 COVERED = 0.5
+LONG = 10
+
+# An article of which repeats cover more than this share is another edition of one.
+EDITION = 0.5
 
 
 def host(url: str | None) -> str:
@@ -37,91 +42,89 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _stream(page: list[tuple[int, str]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Token hashes of the blocks outside articles, and the token range of each."""
-    tokens, ranges = [], []
-    for place, text in page:
-        if place != MAIN:
-            words = text.split()
-            ranges.append((len(tokens), len(tokens) + len(words)))
-            tokens += words
-    return word_hashes(pa.array(tokens, pa.large_string())), ranges
-
-
-_PARSED = "page_id long, url string, host long, row long, blocks array<struct<open:boolean,words:int,suffixes:array<struct<at:int,run:long>>,text:string>>, runs array<long>"
+_PARSED = "page_id long, url string, host long, content long, blocks array<struct<main:boolean,begin:int,end:int,text:string>>, runs array<long>"
+_BLOCK = pa.struct([("main", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
 
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
     urls, pages = batch.column("url").to_pylist(), pc.fill_null(batch.column("html"), "").to_pylist()
-    out_blocks, out_runs = [], []
+    out_blocks, out_runs, contents = [], [], []
     for html in pages:
-        page = blocks(html)
-        hashes, ranges = _stream(page)
+        kept, tokens = [], []
+        for place, text in blocks(html):
+            begin = len(tokens)
+            tokens += text.split()
+            if place != BESIDE:
+                kept.append({"main": place == MAIN, "begin": begin, "end": len(tokens), "text": text})
+        hashes = word_hashes(pa.array(tokens, pa.large_string()))
+        # of the tokens in their order, so copies of a page under other ids and addresses count as one
+        contents.append(int(mixed(hashes + mixed(np.arange(len(hashes), dtype=np.uint64))).sum(dtype=np.uint64)))
         runs = run_hashes(hashes, min(RUN, len(hashes))) if len(hashes) else hashes
-        runs = runs.view(np.int64).tolist()
-        kept, k = [], 0
-        for place, text in page:
-            if place == MAIN:
-                kept.append({"open": False, "words": 0, "suffixes": [], "text": text})
-                continue
-            begin, end = ranges[k]
-            k += 1
-            if place == OPEN:
-                near = range(max(0, begin - RUN + 1), min(end, len(runs)))
-                suffixes = [{"at": i - begin, "run": runs[i]} for i in near]
-                kept.append({"open": True, "words": end - begin, "suffixes": suffixes, "text": text})
         out_blocks.append(kept)
-        out_runs.append(sorted(set(runs)))
+        out_runs.append(runs.view(np.int64).tolist())
     hosts = word_hashes(pa.array([host(u) for u in urls], pa.large_string())).view(np.int64)
-    block = pa.struct([("open", pa.bool_()), ("words", pa.int32()), ("suffixes", pa.list_(pa.struct([("at", pa.int32()), ("run", pa.int64())]))), ("text", pa.string())])
     return pa.RecordBatch.from_arrays(
-        [batch.column("page_id"), batch.column("url"), pa.array(hosts), batch.column("row"), pa.array(out_blocks, pa.list_(block)), pa.array(out_runs, pa.list_(pa.int64()))],
-        names=["page_id", "url", "host", "row", "blocks", "runs"],
+        [
+            batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(np.asarray(contents, np.uint64).view(np.int64)),
+            pa.array(out_blocks, pa.list_(_BLOCK)), pa.array(out_runs, pa.list_(pa.int64())),
+        ],
+        names=["page_id", "url", "host", "content", "blocks", "runs"],
     )
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Blocks that are or may be main text, and the suffix runs of the rest of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
+    """Blocks that may be main text, with their places in the page's token stream, and the runs of that stream."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(by_slice("html", _parse), _PARSED)
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
-    """``host, run`` that stand on two distinct pages of a host."""
-    suffixes = pages.select("host", "row", F.explode("runs").alias("run"))
-    groups = suffixes.groupBy("host", "run").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    """``host, run`` that stand on pages of a host with different contents."""
+    suffixes = pages.select("host", "content", F.explode("runs").alias("run"))
+    groups = suffixes.groupBy("host", "run").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     return groups.where("lo < hi").select("host", "run")
 
 
+def main_blocks(page: list[dict], places: list[int]) -> list[str]:
+    """The blocks that are main text, with repeated runs at ``places`` of the stream."""
+    covered = np.zeros(max((b["end"] for b in page), default=0) + RUN, bool)
+    for at in places:
+        covered[at : at + RUN] = True
+    gone = []
+    for b in page:
+        own = covered[b["begin"] : b["end"]]
+        breaks = np.flatnonzero(~np.concatenate([[False], own, [False]]))
+        gone.append(not b["main"] and bool(own.all() or (own.mean() >= COVERED and np.diff(breaks).max() > LONG)))
+    words = [b["end"] - b["begin"] if b["main"] else 0 for b in page]
+    edition = sum(n for n, g in zip(words, gone, strict=True) if g) > EDITION * sum(words)
+    return [b["text"] for b, g in zip(page, gone, strict=True) if not g or (b["main"] and edition)]
+
+
+def _decide(batches):
+    for batch in batches:
+        pages, places = batch.column("blocks").to_pylist(), batch.column("places").to_pylist()
+        texts = [" ".join(main_blocks(page, at or [])) for page, at in zip(pages, places, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages`` (page_id, url, html).
 
     Blocks are joined by one space, in page order.  NULL and empty html, and
     pages without main text, give an empty text.  A NULL or unreadable URL
-    counts as one host.  Rows are kept one for one, also repeated ones; equal
-    rows count as one page when repeats are looked for.  Other columns are not
-    read.
+    Blocks are joined by one space, in page order.  NULL and empty html, and
+    pages without main text, give an empty text.  A NULL or unreadable URL
+    counts as one host.  Rows are kept one for one, also repeated ones; pages
+    of equal text count as one when repeats are looked for.  Other columns are
+    not read.
     """
     read = durable(parsed(pages))
-    blocks_of = F.posexplode("blocks").alias("no", "block")
-    may_be = read.where(F.exists("blocks", lambda b: b["open"])).select("host", "row", blocks_of).where("block.open").distinct()
-    suffixes = may_be.select("host", "row", "no", "block.words", F.explode("block.suffixes").alias("s"))
-    covered = (
-        suffixes.select("host", "row", "no", "words", "s.at", "s.run")
-        .join(repeated_runs(read), ["host", "run"], "left_semi")
-        .groupBy("row", "no", "words")
-        .agg(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + RUN - 1))).alias("places"))
-        .withColumn("places", F.filter(F.array_distinct("places"), lambda p: (p >= 0) & (p < F.col("words"))))
-        .where(F.size("places") >= COVERED * F.col("words"))
-        .groupBy("row")
-        .agg(F.collect_set("no").alias("gone"))
-    )
-    settled = read.where(~F.exists("blocks", lambda b: b["open"])).withColumn("gone", F.lit(None).cast("array<int>"))
-    unsettled = read.where(F.exists("blocks", lambda b: b["open"])).join(covered, "row", "left").select(settled.columns)
-    kept = F.filter("blocks", lambda b, no: ~F.coalesce(F.array_contains("gone", no), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    done = settled.unionByName(unsettled).select("page_id", "url", text.alias("text"))
+    runs = read.select("host", "content", F.posexplode("runs").alias("at", "run"))
+    # at most the tokens of one page
+    covered = limited(runs, repeated_runs(read), ["host", "run"]).groupBy("host", "content").agg(F.collect_set("at").alias("places"))
+    rows = read.select("page_id", "url", "host", "content", "blocks").join(covered, ["host", "content"], "left")
+    done = rows.select("page_id", "url", "blocks", "places").mapInArrow(_decide, "page_id long, url string, text string")
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
-__all__ = ["BESIDE", "extract_main_text", "parsed", "repeated_runs"]
+__all__ = ["BESIDE", "extract_main_text", "main_blocks", "parsed", "repeated_runs"]

@@ -25,6 +25,16 @@ def texts(spark, rows):
     return {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
 
 
+def test_copies_of_a_page_do_not_empty_each_other(spark):
+    html = f"<body><div>{story(1)}</div><p>{story(2)}</p></body>"
+    phrase = "as our readers already know"
+    rows = [(1, "http://h/a", html), (2, "http://h/b", html), (3, None, html), (4, "::bad", html)]
+    rows += [(5 + i, "http://h/c", f"<body><p>{phrase} {story(70 + i, 5)}</p><p>{story(80 + i)}</p></body>") for i in range(2)]
+    got = texts(spark, rows)
+    assert got[1] == got[2] == got[3] == got[4] == f"{story(1)} {story(2)}"
+    assert got[5].startswith(phrase) and got[6].startswith(phrase)
+
+
 def test_short_unique_blocks_beside_an_article_stay(spark):
     menu = "Home News Sport Culture Opinion Archive"
     page = lambda i: f"<body><div>{menu}</div><h1>Headline {story(i, 4)}</h1><article><p>{story(i + 10)}</p></article><p>The end {story(i + 20, 3)}</p></body>"
