@@ -94,7 +94,7 @@ def main_blocks(page: list[dict], places: list[int]) -> list[str]:
     for b in page:
         own = covered[b["begin"] : b["end"]]
         breaks = np.flatnonzero(~np.concatenate([[False], own, [False]]))
-        gone.append(not b["main"] and bool(own.all() or (own.mean() >= COVERED and np.diff(breaks).max() > LONG)))
+        gone.append(bool(own.all() or (own.mean() >= COVERED and np.diff(breaks).max() > LONG)))
     words = [b["end"] - b["begin"] if b["main"] else 0 for b in page]
     edition = sum(n for n, g in zip(words, gone, strict=True) if g) > EDITION * sum(words)
     return [b["text"] for b, g in zip(page, gone, strict=True) if not g or (b["main"] and edition)]

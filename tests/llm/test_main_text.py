@@ -25,6 +25,16 @@ def texts(spark, rows):
     return {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
 
 
+def test_a_repeated_line_in_articles_goes(spark):
+    line = "Sign up today and never miss one of our stories"
+    rows = [(i, f"http://h/{i}", f"<article><p>{story(i)}</p><p>{line}</p><p>{story(i + 100)}</p></article>") for i in range(4)]
+    # an article and its edited copy keep their text
+    rows += [(10 + i, f"http://h/e{i}", f"<article><p>{story(50, 40)}</p><p>{story(51, 40)} edit{i}</p></article>") for i in range(2)]
+    got = texts(spark, rows)
+    assert got[2] == f"{story(2)} {story(102)}"
+    assert got[10] == f"{story(50, 40)} {story(51, 40)} edit0" and got[11].endswith("edit1")
+
+
 def test_copies_of_a_page_do_not_empty_each_other(spark):
     html = f"<body><div>{story(1)}</div><p>{story(2)}</p></body>"
     phrase = "as our readers already know"
