@@ -27,15 +27,17 @@ LEAST_COSINE = 0.93
 # Vectors that the quantisers are fitted on, at most; all vectors are indexed.
 SAMPLE = 20_000
 
-# Lists that a vector probes, and members or probes of a block.
-PROBES = 8
+# Members or probes of a block.
 BLOCK = 512
 
 PARTS = 16
 WORDS = 256
 
-# A code may lose this much of a cosine: members that come this near are compared.
-SLACK = 0.3
+# Rounding of estimates in single precision.
+ROUNDING = 1e-4
+
+# Lists that a vector probes, for each root of the number of lists.
+PROBE_ROOT = 1.5
 
 
 def list_count(n: int) -> int:
@@ -43,6 +45,11 @@ def list_count(n: int) -> int:
     return 2 ** max(2, min(12, round(math.log2(max(n, 1)) / 2) - 1))
 
 
+def probe_count(lists: int) -> int:
+    """Lists that a vector probes, of so many: eight, and more with the root of their number."""
+    return min(lists, max(8, round(PROBE_ROOT * lists**0.5)))
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(1) / 2
     return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, 1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
@@ -83,6 +90,16 @@ class Quantiser:
         rest = x - self.centres[lists]
         return np.stack([_nearest(rest[:, cut], words) for cut, words in zip(self.cuts, self.words, strict=True)], 1).astype(np.uint8)
 
+    def least_estimates(self, members: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
+        """For each member, the least approximate cosine that a vector at LEAST_COSINE or more of it can have."""
+        coded = np.repeat(self.centres[list_no][None].astype(np.float64), len(codes), 0)
+        for part, (cut, words) in enumerate(zip(self.cuts, self.words, strict=True)):
+            coded[:, cut] += words[codes[:, part]]
+        along = (coded * members).sum(1)
+        across = np.sqrt(((coded - along[:, None] * members) ** 2).sum(1))
+        at_least = LEAST_COSINE * along - math.sqrt(1 - LEAST_COSINE**2) * across
+        return np.where(along >= 0, at_least, -np.hypot(along, across)) - ROUNDING
+
     def estimates(self, x: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
         """Approximate cosines of the rows of ``x`` with the coded members of a list."""
         total = np.repeat((x @ self.centres[list_no])[:, None], len(codes), 1)
@@ -98,6 +115,19 @@ def _unit(vectors: list, size: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
+def _packed(vectors: list, size: int) -> list[bytes]:
+    """Each vector as bytes, in single precision where that says the same."""
+    x = np.asarray(vectors, np.float64).reshape(len(vectors), size)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    same = (short == x).all(1)
+    return [(s if k else v).tobytes() for s, v, k in zip(short, x, same.tolist(), strict=True)]
+
+
+def _unpacked(rows: list[bytes], size: int) -> np.ndarray:
+    return _unit([np.frombuffer(r, np.float32 if len(r) == 4 * size else np.float64) for r in rows], size)
+
+
 def _index_rows(quantiser):
     """Each vector as a member of its own list, and as a probe of its nearest ones."""
 
@@ -107,19 +137,21 @@ def _index_rows(quantiser):
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
                 x = _unit(part.column("v").to_pylist(), q.centres.shape[1])
-                near = q.probes(x.astype(np.float32), PROBES)
+                near = q.probes(x.astype(np.float32), probe_count(len(q.centres))).astype(np.int32)
                 codes = q.codes(x.astype(np.float32), near[:, 0])
                 n, p = near.shape
                 rows = np.concatenate([np.arange(n), np.repeat(np.arange(n), p)])
                 lists = np.concatenate([near[:, 0], near.ravel()]).astype(np.int32)
                 code = pa.array([c.tobytes() for c in codes] + [None] * (n * p), pa.binary())
-                raw = [v.tobytes() for v in x.astype(np.float64)]
+                raw = _packed(part.column("v").to_pylist(), x.shape[1])
+                probed = pa.array([c.tobytes() for c in near] + [None] * (n * p), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("label").take(rows), pa.array(lists), part.column("node").take(rows),
                         part.column("copies").take(rows), code, pa.array([raw[i] for i in rows], pa.binary()),
+                        pa.array(near[rows, 0]), probed,
                     ],
-                    names=["label", "list", "node", "copies", "code", "x"],
+                    names=["label", "list", "node", "copies", "code", "x", "own", "probed"],
                 )
 
     return run
@@ -132,13 +164,14 @@ def _block_links(quantiser):
     """Links between the probes and the members of one block.
 
     Returns for each probe how many vectors it links to here (``n``, with
-    ``b`` NULL), and links that join all that is joined within the block.
+    ``b`` NULL), the same for members whose own probes do not reach the other
+    side, and links that join all that is joined within the block.
     """
 
     def run(table: pa.Table) -> pa.Table:
         q = quantiser.value
         nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(table.num_rows, -1)
+        x = _unpacked(table.column("x").to_pylist(), q.centres.shape[1])
         code = table.column("code")
         member = np.asarray(code.is_valid())
         none = _FOUND.empty_table()
@@ -146,8 +179,9 @@ def _block_links(quantiser):
             return none
         codes = np.frombuffer(b"".join(c for c in code.to_pylist() if c is not None), np.uint8).reshape(int(member.sum()), -1)
         probes, members = x[~member], x[member]
-        rough = q.estimates(probes.astype(np.float32), int(table.column("list")[0].as_py()), codes)
-        i, j = np.nonzero(rough >= LEAST_COSINE - SLACK)
+        list_no = int(table.column("list")[0].as_py())
+        rough = q.estimates(probes.astype(np.float32), list_no, codes)
+        i, j = np.nonzero(rough >= q.least_estimates(members, list_no, codes))
         a, b = nodes[~member], nodes[member]
         differ = a[i] != b[j]
         i, j = i[differ], j[differ]
@@ -158,12 +192,18 @@ def _block_links(quantiser):
             return none
         counts = np.bincount(i, weights=copies[member][j], minlength=len(a)).astype(np.int64)
         linked = np.flatnonzero(counts)
+        # a member that does not probe the list of a probe cannot find it, so the link counts for it here
+        probed = np.frombuffer(b"".join(r for r in table.column("probed").to_pylist() if r is not None), np.int32).reshape(len(b), -1)
+        own = table.column("own").to_numpy()[~member]
+        blind = ~np.concatenate([(probed[j[k : k + 8192]] == own[i[k : k + 8192], None]).any(1) for k in range(0, len(i), 8192)])
+        back = np.bincount(j[blind], weights=copies[~member][i[blind]], minlength=len(b)).astype(np.int64)
+        met = np.flatnonzero(back)
         joins = _forest(a[i], b[j])
         return pa.table(
             {
-                "a": np.concatenate([a[linked], joins[:, 0]]),
-                "b": pa.array([None] * len(linked) + joins[:, 1].tolist(), pa.int64()),
-                "n": pa.array(counts[linked].tolist() + [None] * len(joins), pa.int64()),
+                "a": np.concatenate([a[linked], b[met], joins[:, 0]]),
+                "b": pa.array([None] * (len(linked) + len(met)) + joins[:, 1].tolist(), pa.int64()),
+                "n": pa.array(counts[linked].tolist() + back[met].tolist() + [None] * len(joins), pa.int64()),
             },
             schema=_FOUND,
         )
@@ -206,7 +246,7 @@ def find_links(classes: DataFrame) -> DataFrame:
     quantiser = spark.sparkContext.broadcast(Quantiser(_unit([r.v for r in sample], size).astype(np.float32), list_count(n)))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = classes.repartition(parts, "node").mapInArrow(
-        _index_rows(quantiser), f"label {classes.schema['label'].dataType.simpleString()}, list int, node long, copies long, code binary, x binary"
+        _index_rows(quantiser), f"label {classes.schema['label'].dataType.simpleString()}, list int, node long, copies long, code binary, x binary, own int, probed binary"
     )
     rows = durable(rows)
     sizes = rows.groupBy("label", "list").agg(
@@ -253,7 +293,6 @@ def vector_components(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "em
     found = durable(found)
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    # a link that only one side has found counts for that side alone
     joined = classes.select("node", "copies", "least").join(roots, "node", "left").join(counts, "node", "left")
     joined = durable(joined.select("node", "copies", "least", F.coalesce("root", "node").alias("root"), F.coalesce("others", F.lit(0)).alias("others")))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
