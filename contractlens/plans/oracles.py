@@ -271,7 +271,7 @@ WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.from_date = w.from_date
 
 RECHECK = PENDING.replace("n.from_date < DATE '1998-01-01'", "n.note <> 'zero_assumed'")
 
-SCORED = f"""WITH {FX}, {_fences("fx", "product_name", "unit_price", 3.0)},
+CSV_SCORED = f"""WITH {FX}, {_fences("fx", "product_name", "unit_price", 3.0)},
             {_pairs("fx", "org_name", "contract_date", "total_value", "contract_number", 30, 0.02)},
             scored AS (
               SELECT *, CAST(overpriced_flag AS INTEGER) + CAST(timing_cluster_flag AS INTEGER)
@@ -527,8 +527,8 @@ def oracle_sql() -> dict[str, str]:
             count_if(quantity = 50) AS quantity, CAST(0 AS BIGINT) AS contract_date FROM fx""",
         "csv_to_hhi": _hhi("ministry"),
         "hhi_file": _hhi("ministry"),
-        "csv_to_metrics": f"""{SCORED} {_metrics("total_value")}""",
-        "flagged_file": f"""{SCORED} SELECT contract_number,
+        "csv_to_metrics": f"""{CSV_SCORED} {_metrics("total_value")}""",
+        "flagged_file": f"""{CSV_SCORED} SELECT contract_number,
             contract_status || chr(10) || '"held", later' AS contract_status, anomaly_score
             FROM scored WHERE anomaly_score > 0""",
     }
