@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import extraction, jaccard, mixing, negatives, passages, quality, tokens, toxicity, vectors, warc
+from contractlens.llm import chat, extraction, jaccard, mixing, negatives, passages, quality, tokens, toxicity, vectors, warc
 from contractlens.llm.common import table
 from contractlens.llm.licenses import scan_licenses
 
@@ -72,6 +72,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, chat.REPLY, chat.PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_turns(turns.unionByName(probe)))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vectors": op8_vectors,
         "op9_passages": op9_passages,
         "op10_license_scan": op10_license_scan,
+        "op11_chat_examples": op11_chat_examples,
         "op12_hard_negatives": op12_hard_negatives,
     }
 
@@ -100,5 +107,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality": quality.oracle_sql(),
         "op4_jaccard": jaccard.ORACLE,
         "op7_mixing": mixing.oracle_sql(),
+        "op11_chat_examples": chat.oracle_sql(),
         "op12_hard_negatives": negatives.ORACLE,
     }
