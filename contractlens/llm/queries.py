@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractlens.llm import chat, extraction, jaccard, mixing, negatives, passages, quality, tokens, toxicity, vectors, warc
+from contractlens.llm import chat, collocations, extraction, jaccard, mixing, negatives, passages, quality, tokens, toxicity, vectors, warc
 from contractlens.llm.common import table
 from contractlens.llm.licenses import scan_licenses
 
@@ -84,6 +84,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vecs, F.col("vec_id") % 50 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op11_chat_examples": op11_chat_examples,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -109,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.oracle_sql(),
         "op11_chat_examples": chat.oracle_sql(),
         "op12_hard_negatives": negatives.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
