@@ -28,7 +28,10 @@ from contractlens.operators.scale import attach, durable
 SCALE = 1_000_000
 
 # n-grams that a task gathers before it counts them
-GATHERED = 1 << 20
+GATHERED = 1 << 19
+
+# bytes of text that a task looks at
+SLICE = 1 << 20
 
 # Open pairs that one pass over the texts looks for: 8 bytes each on every executor.  More take more passes.
 OPEN = 1 << 20
@@ -151,7 +154,7 @@ def _count_words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = Gathered()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = Words(part.column("text"), part.column("lang"), seed)
                 if not len(words.hashes):
                     continue
@@ -185,7 +188,7 @@ def _count_triples(seed: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         triples = Gathered()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = Words(part.column("text"), part.column("lang"), seed)
                 at = words.runs(3)
                 if not len(at):
