@@ -84,6 +84,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows of a few unsplit files over ``tasks`` tasks (by default one per core), for costly work on each row.
+
+    What the scan already cuts into that many partitions or more stays as it is: a large table does not move.
+    """
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df`` in memory, by one aggregate."""
     fixed = 8 * len(df.columns) + 16

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlens.operators.scale import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,11 +16,11 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """Line items with order, customer, nation and part."""
     t = lambda name: table(spark, sf_dir, name)
     return (
-        line_items(spark, sf_dir)
+        (line_items(spark, sf_dir) if items is None else items)
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -105,7 +107,7 @@ def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaked = F.when(F.col("c_mktsegment") == "BUILDING", " Organization ").otherwise(
         F.col("c_mktsegment")
     )
-    return _lines(spark, sf_dir).select(
+    return _lines(spark, sf_dir, spread(line_items(spark, sf_dir))).select(
         F.xxhash64(_number()).alias("id"),
         _number().alias("contract_number"),
         leaked.alias("org_type"),
@@ -231,7 +233,7 @@ def render_pages(details: DataFrame) -> DataFrame:
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_pages(order_details(table(spark, sf_dir, "orders"), spark, sf_dir))
+    return render_pages(order_details(spread(table(spark, sf_dir, "orders")), spark, sf_dir))
 
 
 def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -527,6 +527,18 @@ def oracle_sql() -> dict[str, str]:
             count_if(quantity = 50) AS quantity, CAST(0 AS BIGINT) AS contract_date FROM fx""",
         "csv_to_hhi": _hhi("ministry"),
         "hhi_file": _hhi("ministry"),
+        "run_report": f"""WITH m AS ({CSV_SCORED} {_metrics("total_value")}),
+            h AS (SELECT ministry, hhi FROM ({_hhi("ministry")}) ORDER BY hhi DESC, ministry LIMIT 5),
+            gaps AS (WITH {FX} SELECT 100.0 * count_if(brand IS NULL) / count(*) AS missing FROM fx)
+            SELECT format('{{:,}} contracts, {{:,.0f}} Cr total value', contracts, total_crore) || chr(10)
+              || format('price outliers: {{:,}} ({{:.2f}}%)', price_flagged, price_rate * 100) || chr(10)
+              || format('timing clusters: {{:,}} ({{:.2f}}%)', timing_flagged, timing_rate * 100) || chr(10)
+              || format('by at least one: {{:,}}', flagged_any) || chr(10)
+              || format('by both: {{:,}}', flagged_both) || chr(10)
+              || format('without entity: {{:.1f}}%', missing) || chr(10)
+              || 'most concentrated:' || chr(10)
+              || (SELECT string_agg(format('{{}}: {{:,.0f}}', ministry, hhi), chr(10) ORDER BY hhi DESC, ministry) FROM h) AS report
+            FROM m, gaps""",
         "csv_to_metrics": f"""{CSV_SCORED} {_metrics("total_value")}""",
         "flagged_file": f"""{CSV_SCORED} SELECT contract_number,
             contract_status || chr(10) || '"held", later' AS contract_status, anomaly_score

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contractlens.functions import scalars as S
 from contractlens.operators import cleaning, concentration, coverage, dedup, overpricing
 from contractlens.operators import reports, scoring, timing
-from contractlens.operators.scale import fresh_path
+from contractlens.operators.scale import fresh_path, spread
 from contractlens.plans import catalogue as cat
 from contractlens.plans.runs import run_analysis, run_pipeline, score_contracts
 from contractlens.sources import pages as P
@@ -175,7 +175,7 @@ def price_clean(spark, sf):
         .when(line == 6, F.concat(F.lit("INR "), money))
         .otherwise(money)
     )
-    lines = cat.line_items(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", line, text.alias("written"))
+    lines = spread(cat.line_items(spark, sf)).select("l_orderkey", "l_partkey", "l_suppkey", line, text.alias("written"))
     return lines.withColumns(
         {"price": S.clean_price(F.col("written")), "strict_price": S.clean_price(F.col("written"), strict=True)}
     )
@@ -397,7 +397,7 @@ def page_outcome(spark, sf):
         .when(F.col("page_id") % 3 == 1, "<p>Invalid CAPTCHA</p><script>no data found</script>")
         .otherwise('<div class="border block"></div><p>no data found</p>')
     )
-    pages = P.with_outcome(cat.table(spark, sf, "pages"))
+    pages = P.with_outcome(spread(cat.table(spark, sf, "pages")))
     noticed = pages.withColumn("html", F.concat("html", notice))
     return P.with_outcome(noticed, name="outcome_with_notice").drop("html", "url")
 

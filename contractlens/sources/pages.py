@@ -130,7 +130,7 @@ def contract_lines(
         return F.coalesce(F.get("cell", F.lit(i)), F.lit(""))
 
     if outer:
-        lines = lines.withColumn("outcome", _outcome(F.col("page_text"))).drop("page_text")
+        lines = _outcome_of(lines, "page_text", "outcome")
     return lines.withColumns(
         {
             "product_name": cell(0),
@@ -202,15 +202,19 @@ def as_contracts(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in values.CONTRACTS.fields])
 
 
-def _outcome(page_text: Column) -> Column:
-    """What a result page shows; the first that fits wins. No text: it shows a block."""
-    plain = plain_text(page_text)
-    return (
-        F.when(page_text.isNull(), F.lit("results"))
+def _outcome_of(pages: DataFrame, text: str, name: str) -> DataFrame:
+    """What a result page shows, in place of its text; the first that fits wins. No text: it shows a block.
+
+    The plain text is a column of its own, so that it is made once and not for each phrase.
+    """
+    plain = F.col("_plain")
+    outcome = (
+        F.when(plain.isNull(), F.lit("results"))
         .when(contains_any(plain, values.NO_RESULT_PHRASES), F.lit("no_results"))
         .when(contains_any(plain, values.CAPTCHA_ERROR_PHRASES), F.lit("captcha_error"))
         .otherwise(F.lit("unknown"))
     )
+    return pages.withColumn("_plain", plain_text(F.col(text))).drop(text).withColumn(name, outcome).drop("_plain")
 
 
 def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") -> DataFrame:
@@ -223,7 +227,7 @@ def with_outcome(pages: DataFrame, html: str = "html", name: str = "outcome") ->
             yield batch.append_column("_text", pa.array(texts, pa.string()))
 
     shown = pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())]))
-    return shown.withColumn(name, _outcome(F.col("_text"))).drop("_text")
+    return _outcome_of(shown, "_text", name)
 
 
 def sightings(visits: DataFrame) -> DataFrame:
