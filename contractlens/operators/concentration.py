@@ -35,3 +35,11 @@ def missing_rate(df: DataFrame, entity: str = "brand") -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.col(entity).isNull().cast("double")).alias("missing_rate"),
     )
+
+
+def missing_by(df: DataFrame, group: str = "contract_type", entity: str = "brand") -> DataFrame:
+    """Rows and share of rows without the entity, per value of ``group``."""
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(F.col(entity).isNull().cast("double")).alias("missing_rate"),
+    )

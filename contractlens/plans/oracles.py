@@ -520,6 +520,32 @@ def oracle_sql() -> dict[str, str]:
             FROM pages""",
         "stream_ingest": FIRST_LINES,
         "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS seen FROM events",
+        "quantity_split": f"""WITH {FX},
+            near AS (SELECT *, count(*) OVER w AS c, sum(CAST(total_value AS DECIMAL(18,2))) OVER w AS s
+              FROM fx WHERE total_value >= 40000 AND total_value < 50000
+              WINDOW w AS (PARTITION BY ministry, product_name ORDER BY contract_date
+                RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)),
+            hits AS (SELECT ministry, product_name, contract_date FROM near WHERE c >= 3 AND s >= 50000),
+            flagged AS (SELECT n.contract_number, n.c, n.s, EXISTS (SELECT 1 FROM hits h
+                WHERE h.ministry = n.ministry AND h.product_name = n.product_name
+                  AND h.contract_date BETWEEN n.contract_date AND n.contract_date + INTERVAL 7 DAY) AS flag
+              FROM near n)
+            SELECT contract_number, coalesce(c, 0) AS split_count,
+              round(CAST(coalesce(s, 0) AS DOUBLE), 2) AS split_total, coalesce(flag, false) AS split_flag
+            FROM fx LEFT JOIN flagged USING (contract_number)""",
+        "timing_range_pairs": """WITH pairs AS (
+              SELECT a.event_id AS e, b.event_id AS l, a.ts AS et, b.ts AS lt FROM events a JOIN events b
+                ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id))
+                AND epoch_us(b.ts) - epoch_us(a.ts) <= 14400000000 AND a.value > 0 AND b.value > 0
+                AND abs(b.value - a.value) / a.value < 0.1),
+            later AS (SELECT e AS event_id, count(*) AS n, arg_min(l, (lt, l)) AS p FROM pairs GROUP BY e),
+            earlier AS (SELECT l AS event_id, count(*) AS n, arg_max(e, (et, e)) AS p FROM pairs GROUP BY l)
+            SELECT event_id, coalesce(later.n, 0) AS later_matches, coalesce(earlier.n, 0) AS earlier_matches,
+              coalesce(later.p, earlier.p) AS partner
+            FROM events LEFT JOIN later USING (event_id) LEFT JOIN earlier USING (event_id)""",
+        "stream_timing": _timing(30, 0.02),
+        "missing_brand_by_type": f"""WITH {FX} SELECT contract_type, count(*) AS rows,
+            round(avg(CASE WHEN brand IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM fx GROUP BY contract_type""",
         "csv_scan": f"""WITH {FX} SELECT contract_number, ministry, brand, product_name,
             total_value, contract_status || chr(10) || '"held", later' AS contract_status,
             CAST(contract_date AS DATE) AS contract_date FROM fx""",

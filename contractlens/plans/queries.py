@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from contractlens.functions import scalars as S
 from contractlens.operators import cleaning, concentration, coverage, dedup, overpricing
-from contractlens.operators import reports, scoring, timing
+from contractlens.operators import reports, scoring, splitting, timing, twins
 from contractlens.operators.scale import fresh_path, spread
 from contractlens.plans import catalogue as cat
 from contractlens.plans.runs import run_analysis, run_pipeline, score_contracts
 from contractlens.sources import pages as P
 from contractlens.sources import tables
 from contractlens.streaming import ingest
+from contractlens.streaming import timing as stream_timing_of
 
 EVENTS = dict(product="event_type", price="value", buyer="user_id", time="ts", value="value", order="event_id")
 WIDE = dict(window_minutes=240, value_tolerance=0.1)
@@ -78,6 +79,42 @@ def timing_clusters_contracts(spark, sf):
     return flagged.select("contract_number", "ministry", "timing_cluster_flag")
 
 
+SPLIT = dict(limit=50_000, near=0.8, window_minutes=7 * 24 * 60, least=3)
+
+
+def quantity_split(spark, sf):
+    """Contracts of one ministry and product that stay just below a limit within a week."""
+    flagged = splitting.flag_quantity_splitting(cat.contracts(spark, sf), buyer="ministry", **SPLIT)
+    return flagged.select("contract_number", "split_count", F.round("split_total", 2).alias("split_total"), "split_flag")
+
+
+def timing_range_pairs(spark, sf):
+    """Similar events of one user in a time range, whatever lies between them."""
+    events = cat.table(spark, sf, "events")
+    return twins.range_matches(events, "user_id", "ts", "value", "event_id", **WIDE)
+
+
+def stream_timing(spark, sf):
+    """The timing clusters of events that come as a stream, in six parts by time."""
+    events = cat.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = fresh_path(spark, "timing")
+    cat.as_stream_files(events, "ts", f"{root}/in", parts=6)
+    # a row far in the future moves the watermark past all events
+    late = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"),
+        F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"),
+    )
+    late.write.mode("append").parquet(f"{root}/in")
+    stream = ingest.page_stream(spark, f"{root}/in", events.schema, files_per_batch=1)
+    flagged = stream_timing_of.stream_timing_clusters(stream, "user_id", "ts", "value", "event_id", delay="1 day")
+    flagged.writeStream.format("parquet").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("event_id >= 0").select("event_id", "user_id", "timing_cluster_flag")
+
+
+def missing_brand_by_type(spark, sf):
+    return _rounded(concentration.missing_by(cat.contracts(spark, sf)), 6, "missing_rate")
+
+
 def _scored(spark, sf):
     events = cat.table(spark, sf, "events")
     return score_contracts(events, **EVENTS, iqr_multiplier=0.6, **WIDE)
@@ -502,6 +539,7 @@ ALL = [
     hhi_by_group, hhi_by_product, hhi_top, hhi_missing_rate,
     price_fences, overpricing_flags, overpricing_default,
     timing_clusters, timing_clusters_wide, timing_clusters_contracts,
+    quantity_split, timing_range_pairs, stream_timing, missing_brand_by_type,
     anomaly_score, flagged_review, run_metrics,
     clean_contracts, classified_contracts, analysis_rows, service_check, held_total_check,
     date_parts, date_formats, org_type_fix, junk_product_filter, price_clean, numeric_prefix,
