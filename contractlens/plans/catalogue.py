@@ -258,8 +258,8 @@ def order_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_stream_files(rows: DataFrame, time: str, path: str, parts: int) -> None:
     """Write ``rows`` as so many files at least, the earlier of them first, for a stream to read in this order."""
     share = [k / parts for k in range(1, parts)]
-    cuts = rows.select(F.unix_micros(time).alias("t")).approxQuantile("t", share, 0.001)
-    at = F.unix_micros(time)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = rows.select(at.alias("t")).approxQuantile("t", share, 0.001)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         some = rows
         if low is not None:

@@ -283,6 +283,13 @@ CSV_SCORED = f"""WITH {FX}, {_fences("fx", "product_name", "unit_price", 3.0)},
 # -- pages -----------------------------------------------------------------------
 
 HAS_TABLE = "o_orderpriority <> '5-LOW'"
+# each page has its block twice, with two product lines or none
+PAGE_LEDGER = f"""
+SELECT CAST(o_orderdate AS DATE) AS from_date, CAST(o_orderdate AS DATE) AS to_date,
+  count_if(o_orderstatus <> 'P') AS contracts, CAST(sum(CASE WHEN {HAS_TABLE} THEN 4 ELSE 2 END) AS BIGINT) AS rows,
+  'normal' AS note, count_if(o_orderstatus <> 'P') AS stored
+FROM orders GROUP BY ALL
+"""
 CONTRACT = f"""
   'GEMC-' || o_orderkey AS contract_number, c_mktsegment AS org_type, n_name AS ministry,
   c_mktsegment AS department, c_name AS org_name, '' AS office_zone,
@@ -519,6 +526,12 @@ def oracle_sql() -> dict[str, str]:
               AS outcome_with_notice
             FROM pages""",
         "stream_ingest": FIRST_LINES,
+        "stream_ledger": f"SELECT from_date, to_date, contracts, rows, note FROM ({PAGE_LEDGER})",
+        "stream_resume": PAGE_LEDGER,
+        "stream_rate": f"""SELECT CAST(4 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS pages,
+            CAST(sum(CASE WHEN {HAS_TABLE} THEN 4 ELSE 2 END) AS BIGINT) AS lines,
+            count_if(o_orderstatus <> 'P') AS rows_added, count_if(o_orderstatus <> 'P') AS rows_stored,
+            CAST(0 AS BIGINT) AS batches_that_differ FROM orders""",
         "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS seen FROM events",
         "quantity_split": f"""WITH {FX},
             near AS (SELECT *, count(*) OVER w AS c, sum(CAST(total_value AS DECIMAL(18,2))) OVER w AS s

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -452,6 +453,62 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(store.contracts).select(*CONTRACT)
 
 
+def _page_run(spark, sf, name, parts, **how):
+    """Orders as page files in ``parts`` parts by day, ingested one file a batch; ``how`` goes to ``start_ingest``."""
+    root = fresh_path(spark, name)
+    orders = cat.table(spark, sf, "orders")
+    cat.as_stream_files(orders, "o_orderdate", f"{root}/in", parts)
+    stream = ingest.page_stream(spark, f"{root}/in", orders.schema, files_per_batch=1)
+    pages = cat.render_pages(cat.order_details(stream, spark, sf))
+    store = ingest.Store(root)
+    start = lambda **more: ingest.start_ingest(pages, store, f"{root}/_progress", tasks=spark.sparkContext.defaultParallelism, **how, **more)
+    return start, store
+
+
+def _notes(spark, store):
+    return tables.ledger_latest(tables.read_ledger(spark, store.ledger)).select("from_date", "to_date", "contracts", "rows", "note")
+
+
+def stream_ledger(spark, sf):
+    """The ledger of a timed run over five batches, with contracts already met kept in its state."""
+    start, store = _page_run(spark, sf, "timed", 5, every="0 seconds", seen_within="1 day", compact_every=3)
+    ingest.drain(start())
+    return _notes(spark, store)
+
+
+def stream_resume(spark, sf):
+    """Ledger and contracts of a run that stops between the two tables of its second batch, and is started again."""
+    start, store = _page_run(spark, sf, "resume", 3)
+    met = []
+
+    def stop_once(name):
+        met.append(name)
+        if met.count("contracts") == 2 and name == "contracts":
+            raise RuntimeError("stopped on purpose")
+
+    try:
+        start(on_step=stop_once).awaitTermination()
+    except StreamingQueryException as stopped:
+        if "stopped on purpose" not in str(stopped):
+            raise
+    start().awaitTermination()
+    stored = spark.read.parquet(store.contracts).groupBy(F.to_date(F.split_part("contract_date", F.lit(" "), F.lit(1)), "d/M/yyyy").alias("from_date")).agg(F.count("*").alias("stored"))
+    return _notes(spark, store).join(stored, "from_date", "left").fillna(0, ["stored"])
+
+
+def stream_rate(spark, sf):
+    """Batches of a run, the rows they say they added, the rows stored, and batches where the two differ."""
+    start, store = _page_run(spark, sf, "rate", 4)
+    start().awaitTermination()
+    stored = spark.read.parquet(store.contracts).groupBy("batch").agg(F.count("*").alias("stored"))
+    rates = ingest.batch_rates(spark, store).join(stored, "batch", "left")
+    same = F.col("added") == F.coalesce("stored", F.lit(0))
+    return rates.agg(
+        F.count("*").alias("batches"), F.sum("pages").alias("pages"), F.sum("lines").alias("lines"),
+        F.sum("added").alias("rows_added"), F.sum("stored").alias("rows_stored"), F.count_if(~same).alias("batches_that_differ"),
+    )
+
+
 def stream_dedup(spark, sf):
     """Events as a stream: users and types seen, each once."""
     schema = cat.table(spark, sf, "events").schema
@@ -552,7 +609,7 @@ ALL = [
     ledger_migrated, ledger_summary,
     review_windows, window_coverage, ingest_rate,
     extract_contracts, extract_lines, extract_rejects, page_outcome,
-    stream_ingest, stream_dedup,
+    stream_ingest, stream_ledger, stream_resume, stream_rate, stream_dedup,
     csv_scan, csv_problems, csv_to_hhi, csv_to_metrics, hhi_file, flagged_file, run_report,
 ]
 

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from contractlens import values
 from contractlens.functions.scalars import missing_to_null, parse_when
-from contractlens.operators.dedup import first_per_key, latest_per_key, not_seen
-from contractlens.operators.scale import BROADCAST_BYTES, durable, measured_bytes
+from contractlens.operators.dedup import latest_per_key
+from contractlens.sources.growing import Growing
 
 # types of the detector input; every other CSV column stays text
 CSV_TYPES = {
@@ -112,10 +112,6 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 # --------------------------------------------------------------------------
 
 
-# A growing table with keys is split by a hash of the key into this many parts.
-BUCKETS = 32
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, *parts: str) -> DataFrame:
     """The table at ``path``, or no rows of ``schema`` when there is none yet.
 
@@ -151,25 +147,8 @@ def write_batch(df: DataFrame, path: str, batch: str, *parts: str) -> str:
 
 def append_new(batch_rows: DataFrame, path: str, batch: str, keys: list[str], order: list[str]) -> int:
     """Append rows whose key is new, the first row of each key, and return
-    how many really went in.  Writing the same batch again changes nothing.
-
-    The table is split by a hash of the key, and only the parts that the batch
-    has keys of are looked at; of these only the key columns are read.  The
-    keys of a small batch are broadcast to that scan, so the table does not move.
-    """
-    spark, schema = batch_rows.sparkSession, batch_rows.schema
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    fresh = durable(first_per_key(batch_rows, keys, order).withColumn("bucket", bucket))
-    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
-    old = read_or_empty(spark, path, schema, "bucket int").filter(F.col("bucket").isin(touched))
-    asked = fresh.select(*keys)
-    if measured_bytes(asked) <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    hits = old.filter(F.col("batch") != batch).select(*keys).join(asked, keys, "left_semi")
-    # one file for each part
-    new = not_seen(fresh, hits, keys).repartition("bucket")
-    place = write_batch(new, path, batch, "bucket")
-    return spark.read.schema(fresh.schema).parquet(place).count()
+    how many really went in.  Writing the same batch again changes nothing."""
+    return Growing(batch_rows.sparkSession, path, batch_rows.schema, keys).append_new(batch_rows, batch, order)
 
 
 # --------------------------------------------------------------------------

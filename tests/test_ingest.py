@@ -9,6 +9,7 @@ from contractlens.operators import coverage, dedup
 from contractlens.operators.scale import Steps, durable, measured_bytes
 from contractlens.plans.runs import run_analysis, run_pipeline
 from contractlens.sources import tables
+from contractlens.sources.growing import Growing
 from contractlens.streaming import ingest
 from test_pages import block
 
@@ -267,3 +268,135 @@ def test_recheck_visits_assumed_windows_again(spark):
     windows = log.select("from_date", "to_date")
     assert coverage.pending_windows(windows, log).count() == 0
     assert coverage.pending_windows(windows, log, recheck=True).count() == 1
+
+
+# -- growing tables -------------------------------------------------------------------
+
+
+def grown(spark, path, batches, size=40, gap=0):
+    """Batches of rising keys; each repeats the last ``gap`` keys of the one before."""
+    schema = "k long, o int"
+    table = Growing(spark, path, spark.createDataFrame([], schema).schema, ["k"])
+    added = [
+        table.append_new(spark.createDataFrame([(k, b) for k in range(b * size - gap * (b > 0), (b + 1) * size)], schema), f"{b}", ["o"])
+        for b in range(batches)
+    ]
+    return table, added
+
+
+def test_a_late_batch_opens_no_more_files_than_an_early_one(spark, tmp_path):
+    table, added = grown(spark, str(tmp_path / "t"), 20, gap=5)
+    assert added == [40] * 20 and table.read().count() == 800
+    opened = [len(table.touched(b * 40 - 5, b * 40 + 39, f"{b}")) for b in (2, 20)]
+    assert 0 < opened[1] <= 2 * opened[0] and opened[1] < 20
+    assert len(table.files.names("_manifest")) == 3  # older ones go
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    from contractlens.sources import growing
+
+    monkeypatch.setattr(growing, "FILE_ROWS", 100)
+    table, _ = grown(spark, str(tmp_path / "t"), 8)
+    before = {(r.k, r.o) for r in table.read().collect()}
+    assert table.compact(keep_last=2) == 6
+    assert {(r.k, r.o) for r in table.read().collect()} == before == {(r.k, r.o) for r in spark.read.parquet(table.path).collect()}
+    assert sorted(n for n in table.files.names("") if n.startswith("batch=")) == ["batch=6", "batch=7", "batch=until-9"]
+    merged = table.manifest().where("batch = 'until-9'").orderBy("low").collect()
+    assert len(merged) >= 2 and all(a.high < b.low for a, b in zip(merged, merged[1:], strict=False))
+    one = spark.createDataFrame([(3, 9), (1000, 9)], "k long, o int")
+    assert table.append_new(one, "8", ["o"]) == 1 and table.append_new(one, "8", ["o"]) == 1  # also as a replay
+    assert table.compact(keep_last=9) == 0
+
+
+def test_a_reader_sees_a_table_before_or_after_a_change(spark, tmp_path, monkeypatch):
+    table, _ = grown(spark, str(tmp_path / "t"), 3)
+    monkeypatch.setattr(table, "_commit", lambda entries: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError, match="stopped"):
+        table.append_new(spark.createDataFrame([(900, 1)], "k long, o int"), "3", ["o"])
+    with pytest.raises(RuntimeError, match="stopped"):
+        table.compact(keep_last=1)
+    monkeypatch.undo()
+    assert table.read().count() == 120
+    assert table.append_new(spark.createDataFrame([(900, 1)], "k long, o int"), "3", ["o"]) == 1 and table.read().count() == 121
+
+
+def test_a_table_without_manifest(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_batch(spark.createDataFrame([(1, 1), (2, 1)], "k long, o int"), path, "old")
+    assert tables.append_new(spark.createDataFrame([(2, 5), (3, 5)], "k long, o int"), path, "new", ["k"], ["o"]) == 1
+
+
+# -- a run that goes on ------------------------------------------------------------------
+
+
+def page_files(spark, path, rows, per_file=1):
+    for i in range(0, len(rows), per_file):
+        spark.createDataFrame(rows[i : i + per_file], PAGES).coalesce(1).write.mode("append").parquet(path)
+
+
+def ledger_of(spark, store):
+    return sorted((r.from_date, r.contracts, r.rows, r.note) for r in tables.ledger_latest(tables.read_ledger(spark, store.ledger)).collect())
+
+
+def many_visits(n):
+    """A contract of its own on each page, one that each page repeats, and one without number."""
+    return visits(*[(i, i % 9 + 1, block(f"GEMC-{i}") + block("GEMC-77777") + block("none")) for i in range(n)])
+
+
+def test_timed_batches_equal_one_batch(spark, tmp_path):
+    """Twenty micro-batches by a timed trigger, drained and stopped, with state, compaction and figures."""
+    rows = many_visits(20)
+    whole, parts = ingest.Store(str(tmp_path / "whole")), ingest.Store(str(tmp_path / "parts"))
+    ingest.ingest_batch(spark.createDataFrame(rows, PAGES), "all", whole)
+    page_files(spark, str(tmp_path / "in"), rows)
+    schema = spark.createDataFrame([], PAGES).schema
+    source = ingest.page_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    query = ingest.start_ingest(source, parts, str(tmp_path / "progress"), every="0 seconds", tasks=2, seen_within="1 day", compact_every=8)
+    ingest.drain(query)
+    assert not query.isActive
+    assert numbers(spark, parts) == numbers(spark, whole) and len(numbers(spark, whole)) == 21
+    assert ledger_of(spark, parts) == ledger_of(spark, whole)
+    rates = ingest.batch_rates(spark, parts).collect()
+    assert len(rates) == 20 and sum(r.added for r in rates) == 21 and all((r.pages, r.lines) == (1, 3) for r in rates)
+    assert ingest.live_progress(spark, query).where("input_rows > 0").count() >= 1
+    assert len([f for f in (tmp_path / "parts/contracts").iterdir() if f.name.startswith("batch=")]) < 20
+
+
+def test_contracts_met_again_never_reach_the_table(spark, tmp_path, monkeypatch):
+    met, real = [], ingest.append_new
+
+    def spy(rows, *how):
+        met.append(sorted({r.contract_number for r in rows.select("contract_number").collect()}))
+        return real(rows, *how)
+
+    monkeypatch.setattr(ingest, "append_new", spy)
+    page_files(spark, str(tmp_path / "in"), many_visits(4))
+    source = ingest.page_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], PAGES).schema, files_per_batch=1)
+    ingest.start_ingest(source, ingest.Store(str(tmp_path / "s")), str(tmp_path / "c"), seen_within="1 day").awaitTermination()
+    assert len(met) == 4 and sum(len(m) for m in met) == 5  # four of their own and the repeated one once
+    plan = ingest.mark_seen(ingest.contract_lines(source, outer=True))._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan
+
+
+@pytest.mark.parametrize("where", ["contracts", "sightings", "ledger"])
+@pytest.mark.parametrize("seen_within", [None, "1 day"])
+def test_a_run_goes_on_after_a_crash(spark, tmp_path, where, seen_within):
+    rows = many_visits(3)
+    whole, parts = ingest.Store(str(tmp_path / "whole")), ingest.Store(str(tmp_path / "parts"))
+    ingest.ingest_batch(spark.createDataFrame(rows, PAGES), "all", whole)
+    page_files(spark, str(tmp_path / "in"), rows)
+    source = ingest.page_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], PAGES).schema, files_per_batch=1)
+    steps = []
+
+    def crash(name):
+        steps.append(name)
+        if name == where and steps.count(name) == 2:
+            raise RuntimeError("crash")
+
+    run = lambda: ingest.start_ingest(source, parts, str(tmp_path / "c"), seen_within=seen_within, on_step=crash)
+    with pytest.raises(Exception, match="crash"):
+        run().awaitTermination()
+    if where == "contracts":  # stopped before its window counts as done
+        assert len(ledger_of(spark, parts)) == 1
+    run().awaitTermination()
+    assert numbers(spark, parts) == numbers(spark, whole) and ledger_of(spark, parts) == ledger_of(spark, whole)
