@@ -472,6 +472,13 @@ def oracle_sql() -> dict[str, str]:
               {_half_up("unit_price / median_price", 1)} AS price_ratio
             FROM analysis JOIN m USING (product_name)
             WHERE unit_price > median_price * 5 AND quantity > 1""",
+        "catalog_anomalies": f"""WITH {FX}, {_medians("fx")}
+            SELECT contract_number, product_name, total_value, year, month,
+              {_half_up("unit_price / median_price", 1)} AS price_ratio
+            FROM fx JOIN m USING (product_name)
+            WHERE unit_price > median_price * 5 AND quantity > 1 AND year = 1996 AND month <= 6""",
+        "sketched_prices": f"""WITH {FX} SELECT product_name, count(*) AS rows, count(DISTINCT org_name) AS buyers,
+            true AS ranks_within_1_percent, true AS buyers_within_5_percent FROM fx GROUP BY product_name""",
         "top_ministries": f"""WITH {FX} SELECT ministry, count(*) AS n,
             CAST(sum(CAST(total_value AS DECIMAL(18,2))) AS DOUBLE) AS v
             FROM fx WHERE ministry <> '' GROUP BY ministry ORDER BY n DESC, ministry LIMIT 10""",

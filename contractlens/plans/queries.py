@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from contractlens.functions import scalars as S
 from contractlens.operators import cleaning, concentration, coverage, dedup, overpricing
-from contractlens.operators import reports, scoring, splitting, timing, twins
-from contractlens.operators.scale import fresh_path, spread
+from contractlens.operators import reports, scoring, sketches, splitting, timing, twins
+from contractlens.operators.scale import attach, fresh_path, spread
 from contractlens.plans import catalogue as cat
-from contractlens.plans.runs import run_analysis, run_pipeline, score_contracts
+from contractlens.plans.runs import run_analysis, run_pipeline, save_anomalies, score_contracts
 from contractlens.sources import pages as P
 from contractlens.sources import tables
 from contractlens.streaming import ingest
@@ -295,6 +295,38 @@ def analysis_chain(spark, sf):
     )
 
 
+def catalog_anomalies(spark, sf):
+    """The anomaly table in the catalog, read for one year's first half."""
+    rows = reports.median_outliers(cat.contracts(spark, sf))
+    table = save_anomalies(rows, "price_anomalies_by_month", fresh_path(spark, "anomalies"))
+    return table.where("year = 1996 AND month <= 6").select(
+        "contract_number", "product_name", "total_value", "year", "month", "price_ratio"
+    )
+
+
+PROBS = [0.25, 0.5, 0.75]
+
+
+def sketched_prices(spark, sf):
+    """Quartiles and distinct buyers per product from sketches of seven batches, held against the exact ranks and counts."""
+    contracts = cat.contracts(spark, sf).select("product_name", "unit_price", "org_name", F.dayofweek("contract_date").alias("batch"))
+    path = fresh_path(spark, "sketches")
+    sketches.sketch_groups(contracts, ["product_name", "batch"], "unit_price", "org_name").write.parquet(path)
+    found = sketches.sketched(sketches.merge_sketches(spark.read.parquet(path), ["product_name"]), ["product_name"], PROBS)
+    below = [F.count_if(F.col("unit_price") <= F.col(f"q{i}")).alias(f"up_to_{i}") for i in range(3)]
+    equal = [F.count_if(F.col("unit_price") == F.col(f"q{i}")).alias(f"at_{i}") for i in range(3)]
+    seen = attach(contracts, found, ["product_name"]).groupBy("product_name", "rows", "distinct").agg(
+        *below, *equal, F.count_distinct("org_name").alias("buyers")
+    )
+    # a value that stands for several ranks is right if one of them is
+    near = [
+        (F.col(f"up_to_{i}") >= (p - 0.01) * F.col("rows") - 1) & (F.col(f"up_to_{i}") - F.col(f"at_{i}") <= (p + 0.01) * F.col("rows") + 1)
+        for i, p in enumerate(PROBS)
+    ]
+    few = F.abs(F.col("distinct") - F.col("buyers")) <= 1 + 0.05 * F.col("buyers")
+    return seen.select("product_name", "rows", "buyers", (near[0] & near[1] & near[2]).alias("ranks_within_1_percent"), few.alias("buyers_within_5_percent"))
+
+
 def top_ministries(spark, sf):
     return reports.top_ministries(cat.contracts(spark, sf))
 
@@ -603,7 +635,7 @@ ALL = [
     date_preview, unit_price_preview,
     type_coverage, product_benchmark, average_outliers, average_outliers_named,
     median_outliers, median_outliers_goods, anomaly_impact, analysis_chain,
-    top_ministries, value_range, row_count,
+    catalog_anomalies, sketched_prices, top_ministries, value_range, row_count,
     dedup_first, new_contracts, append_twice,
     date_windows, window_note, pending_windows, recheck_windows, next_windows, ledger_latest,
     ledger_migrated, ledger_summary,

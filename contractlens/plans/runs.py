@@ -53,20 +53,21 @@ class Outputs:
     report: DataFrame
 
 
-def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id") -> Outputs:
+def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id", multi_line: bool = True) -> Outputs:
     """CSV of clean contracts to ``hhi_by_ministry``, ``scored``,
     ``flagged_anomalies``, ``run_metrics`` and ``run_report`` under ``out``.
 
     The contracts are kept as a typed table, of which each step reads its
     columns.  Cells that do not fit their type are counted in
     ``csv_problems``, records that do not fit their header are in ``csv_rejects``.  The scored table is written once; review list and figures
-    read it.
+    read it.  ``multi_line=False`` lets large files be read by many tasks,
+    where no cell holds a line end.
     """
     with Steps(spark):
-        text = read_csv_text(spark, path)
+        text = read_csv_text(spark, path, multi_line)
         contracts = write_table(type_columns(text), f"{out}/contracts")
         problems = write_table(csv_problems(text), f"{out}/csv_problems")
-        rejects = write_table(csv_rejects(spark, path), f"{out}/csv_rejects")
+        rejects = write_table(csv_rejects(spark, path, multi_line), f"{out}/csv_rejects")
         hhi = compute_hhi(contracts, "ministry", "brand")
         write_csv(hhi, f"{out}/hhi_by_ministry")
 
@@ -96,3 +97,18 @@ def run_analysis(raw: DataFrame, out: str) -> Analysis:
         analysis = write_table(clean, f"{out}/contracts_analysis")
         anomalies = write_table(median_outliers(analysis), f"{out}/price_anomalies")
     return Analysis(analysis, anomalies, anomaly_impact(anomalies))
+
+
+def save_anomalies(anomalies: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Replace the catalog table ``name``, split by year and month, and read it back.
+
+    A filter on year or month then reads only the folders it names.  ``path``
+    puts the data there and not in the warehouse.
+    """
+    spark = anomalies.sparkSession
+    writer = anomalies.write.mode("overwrite").partitionBy("year", "month").format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    # rows of one month go to few files
+    writer.saveAsTable(name)
+    return spark.table(name)

@@ -5,7 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from contractlens.operators import concentration, splitting, timing, twins
+from contractlens.operators import concentration, sketches, splitting, timing, twins
+from contractlens.plans.runs import save_anomalies
 from contractlens.streaming import ingest
 from contractlens.streaming.timing import stream_timing_clusters
 
@@ -123,3 +124,30 @@ def test_stream_equals_batch(spark, tmp_path, files):
     out = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.id >= 0]
     assert len(out) == len(rows) and {r.id: r.timing_cluster_flag for r in out} == want
     assert 0 < sum(want.values()) < len(rows)
+
+
+def test_sketches_merge(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i % 4, float(v), f"b{i % 700}") for i, v in enumerate(rng.normal(size=20_000))]
+    rows += [("none", 0, None, None), ("none", 1, float("nan"), None)]
+    df = spark.createDataFrame(rows, "product_name string, batch int, unit_price double, org_name string")
+    stored = sketches.sketch_groups(df, ["product_name", "batch"], "unit_price", "org_name")
+    got = {r.product_name: r for r in sketches.sketched(sketches.merge_sketches(stored, ["product_name"]), ["product_name"], [0.1, 0.5]).collect()}
+    assert (got["none"].rows, got["none"].distinct, got["none"].q0) == (2, 0, None)
+    for name, r in got.items():
+        values = np.sort([v for g, _, v, _ in rows if g == name and v is not None and v == v])
+        if len(values):
+            assert all(abs(np.searchsorted(values, q) / len(values) - p) <= 0.01 for q, p in ((r.q0, 0.1), (r.q1, 0.5)))
+            assert abs(r.distinct - len({b for g, _, _, b in rows if g == name})) <= 0.05 * 700
+
+
+def test_a_month_reads_its_own_folder(spark, tmp_path):
+    rows = [("c1", 2024, 1), ("c2", 2024, 2), ("c3", 2025, 1)]
+    df = spark.createDataFrame(rows, "contract_number string, year int, month int")
+    for _ in range(2):  # a table that is there is replaced
+        table = save_anomalies(df, "anomalies_test", str(tmp_path / "t"))
+    month = table.where("year = 2024 AND month = 2")
+    assert [r.contract_number for r in month.collect()] == ["c2"] and table.count() == 3
+    plan = month._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    spark.sql("DROP TABLE anomalies_test")
