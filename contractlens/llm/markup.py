@@ -34,6 +34,12 @@ ASIDE_NAMES = frozenset(
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 
+# words of layout that a compound name may add to these
+LAYOUT_NAMES = frozenset(
+    "area bar block bottom box button buttons column container content form frame group holder icon icons inner item items large left link links list main mobile module outer "
+    "overlay panel placeholder right row section slot small sticky text title top unit up wrap wrapper zone".split()
+)
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=/>"'][^\s=/>]*)?(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _WANTED = frozenset(("class", "id", "role", "hidden", "aria-hidden", "itemprop", "style"))
@@ -66,9 +72,15 @@ def _marked(name: str, attributes: dict[str, str]) -> bool:
     if name in ("html", "body"):
         return False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    if name not in ("article", "main"):  # these are named by parts: "has-sidebar"
-        names += [part for word in names for part in re.split(r"[-_:]+", word)[:1]]
-    return any(word in ASIDE_NAMES for word in names)
+    if name in ("article", "main"):  # these are also named by what is in them
+        return any(word in ASIDE_NAMES for word in names)
+    return any(_names_aside(word) for word in names)
+
+
+def _names_aside(word: str) -> bool:
+    """A whole name, or a compound of such names and layout words: ``ad-slot``, ``social-share``, but not ``share-price``."""
+    parts = [part.rstrip("0123456789") or "top" for part in re.split(r"[-_:]+", word) if part]
+    return any(part in ASIDE_NAMES for part in parts) and all(part in ASIDE_NAMES or part in LAYOUT_NAMES for part in parts)
 
 
 def _is_main(name: str, attributes: dict[str, str]) -> bool:
