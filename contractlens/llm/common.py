@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,18 @@ def row_key(*columns: str) -> Column:
     return F.md5(F.concat_ws("\x01", *parts))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, Arrow batches of queries that are planned and run hold no more rows than this, for rows that carry long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def limited(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are in ``wanted``.
 
