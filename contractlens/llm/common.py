@@ -41,12 +41,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         begin = end
 
 
-def by_slice(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
+def by_slice(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES):
     """A function for ``mapInArrow`` that applies ``work`` to small slices."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 made = work(part)
                 if made is not None and made.num_rows:
                     yield made
