@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contractlens.llm.common import mixed, slices, word_hashes
+from contractlens.llm.common import arrow_rows, mixed, slices, word_hashes
 from contractlens.operators.scale import attach, durable
 
 SCALE = 1_000_000
@@ -30,8 +30,9 @@ SCALE = 1_000_000
 # n-grams that a task gathers before it counts them
 GATHERED = 1 << 19
 
-# bytes of text that a task looks at
+# bytes of text that a task looks at, and texts that reach it at a time
 SLICE = 1 << 20
+ROWS = 512
 
 # Open pairs that one pass over the texts looks for: 8 bytes each on every executor.  More take more passes.
 OPEN = 1 << 20
@@ -245,7 +246,8 @@ def _open(texts: DataFrame, seed: int, front: DataFrame, least: int) -> list[Dat
             continue
         wanted = spark.sparkContext.broadcast(np.sort(pair_keys(first, second)))
         counted = texts.mapInArrow(_count_triples(seed, wanted), "h1 long, h2 long, h3 long, n long")
-        found.append(durable(counted.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
+        with arrow_rows(spark, ROWS):
+            found.append(durable(counted.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")).where(F.col("a") >= least)))
         wanted.unpersist()
     return found
 
@@ -255,7 +257,8 @@ def _counted(texts: DataFrame, least: int) -> tuple[DataFrame, int]:
     seed = 0
     while True:
         counts = texts.mapInArrow(_count_words(seed), _COUNTED).groupBy("h1", "h2", "word", "lang").agg(F.sum("n").alias("n"))
-        counts = durable(counts.where((F.col("n") >= least) | F.col("h1").isNull()))
+        with arrow_rows(texts.sparkSession, ROWS):
+            counts = durable(counts.where((F.col("n") >= least) | F.col("h1").isNull()))
         if not counts.where("word IS NOT NULL").groupBy("h1").count().where("count > 1").head(1):
             return counts, seed
         seed += 1
