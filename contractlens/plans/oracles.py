@@ -575,7 +575,7 @@ def oracle_sql() -> dict[str, str]:
         "hhi_file": _hhi("ministry"),
         "run_report": f"""WITH m AS ({CSV_SCORED} {_metrics("total_value")}),
             h AS (SELECT ministry, hhi FROM ({_hhi("ministry")}) ORDER BY hhi DESC, ministry LIMIT 5),
-            gaps AS (WITH {FX} SELECT 100.0 * count_if(brand IS NULL) / count(*) AS missing FROM fx)
+            gaps AS (WITH {FX} SELECT avg(CASE WHEN brand IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS missing FROM fx)
             SELECT format('{{:,}} contracts, {{:,.0f}} Cr total value', contracts, total_crore) || chr(10)
               || format('price outliers: {{:,}} ({{:.2f}}%)', price_flagged, price_rate * 100) || chr(10)
               || format('timing clusters: {{:,}} ({{:.2f}}%)', timing_flagged, timing_rate * 100) || chr(10)
