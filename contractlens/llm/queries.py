@@ -112,6 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality": quality.oracle_sql(),
         "op4_jaccard": jaccard.ORACLE,
         "op7_mixing": mixing.oracle_sql(),
+        "op8_vectors": vectors.ORACLE,
         "op11_chat_examples": chat.oracle_sql(),
         "op12_hard_negatives": negatives.ORACLE,
         "op13_collocations": collocations.ORACLE,

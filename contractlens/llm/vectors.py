@@ -303,3 +303,25 @@ def vector_components(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "em
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = linked.unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, q, sqrt(list_sum([x * x FOR x IN q])) AS norm FROM (
+    SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.q, b.q) >= 0.93 * a.norm * b.norm
+),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.y FROM reach JOIN links ON links.x = reach.other
+),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN n USING (vec_id)
+"""
