@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,7 @@ class Steps:
 
     Within ``with Steps(spark):`` all copies that ``durable`` writes belong to
     it.  Frames built on them end with it, so results are written inside.
+    Runs may lie within one another; ``keep`` writes a copy that outlives this one.
     """
 
     _open: ContextVar[Steps | None] = ContextVar("steps", default=None)
@@ -54,9 +57,18 @@ class Steps:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Steps:
+        self._outer = Steps._open.get()
         self._token = Steps._open.set(self)
         return self
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``durable`` for the run around this one, or for the caller where there is none."""
+        token = Steps._open.set(self._outer)
+        try:
+            return durable(df)
+        finally:
+            Steps._open.reset(token)
+
     def __exit__(self, *problem) -> None:
         Steps._open.reset(self._token)
         self.drop()
@@ -69,6 +81,22 @@ class Steps:
         return dropped
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query are removed when the query ends.
+
+    For queries whose result is written: nothing reads their shuffles again, and
+    without this they stay on the executors' disks until the driver's memory is cleaned.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written copy.
 
@@ -80,7 +108,8 @@ def durable(df: DataFrame) -> DataFrame:
     owner = Steps._open.get()
     if owner:
         owner.paths.append(path)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
