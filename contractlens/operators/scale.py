@@ -61,9 +61,9 @@ class Steps:
         self._token = Steps._open.set(self)
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``durable`` for the run around this one, or for the caller where there is none."""
-        token = Steps._open.set(self._outer)
+    def keep(self, df: DataFrame, run: Steps | None = None) -> DataFrame:
+        """``durable`` for another run: by default that around this one, or the caller where there is none."""
+        token = Steps._open.set(run or self._outer)
         try:
             return durable(df)
         finally:
