@@ -175,3 +175,23 @@ def test_pipeline(spark, sf):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_the_fit_makes_the_ranking():
+    rng = np.random.default_rng(5)
+    usual = lambda: rng.integers(0, 400, 30)
+    toxic = lambda: np.unique(np.append(usual(), rng.integers(500, 505, 2))).astype(np.int32)
+    clean = lambda: np.unique(usual()).astype(np.int32)
+    positive, unlabelled = [toxic() for _ in range(200)], [toxic() if k % 10 == 0 else clean() for k in range(2000)]
+    bad, good = [toxic() for _ in range(200)], [clean() for _ in range(200)]
+    fitted, unfitted = (toxicity.Classifier(positive, unlabelled, 0.1, steps) for steps in (toxicity.STEPS, 0))
+    auc = lambda m: (m.scores(bad)[:, None] > m.scores(good)[None]).mean() + (m.scores(bad)[:, None] == m.scores(good)[None]).mean() / 2
+    assert auc(unfitted) == 0.5 and auc(fitted) > 0.99
+
+
+def test_scores_do_not_depend_on_partitions_or_repeated_ids(spark):
+    rows = [(k % 90, f"word{k % 7} word{k % 5} " + ("vile awful" if k % 3 == 0 else "kind plain") + f" x{k}") for k in range(120)]
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [{(r.doc_id, r.text): r.score for r in toxicity.score_toxicity(d, marks).collect()} for d in (docs.repartition(7), docs.coalesce(1).orderBy("text"))]
+    assert scores[0] == scores[1] and len(scores[0]) == 120
