@@ -400,3 +400,23 @@ def test_a_run_goes_on_after_a_crash(spark, tmp_path, where, seen_within):
         assert len(ledger_of(spark, parts)) == 1
     run().awaitTermination()
     assert numbers(spark, parts) == numbers(spark, whole) and ledger_of(spark, parts) == ledger_of(spark, whole)
+
+
+def test_seen_contracts_share_few_states(spark, tmp_path, monkeypatch):
+    """The state grows in groups, not in entries of one contract each, and the tables are worked on with adaptive plans."""
+    monkeypatch.setattr(ingest, "SEEN_GROUPS", 4)
+    adaptive, real = [], ingest.append_new
+
+    def spy(rows, *how):
+        adaptive.append(rows.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return real(rows, *how)
+
+    monkeypatch.setattr(ingest, "append_new", spy)
+    rows, store = many_visits(24), ingest.Store(str(tmp_path / "s"))
+    page_files(spark, str(tmp_path / "in"), rows, per_file=8)
+    source = ingest.page_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], PAGES).schema, files_per_batch=1)
+    query = ingest.start_ingest(source, store, str(tmp_path / "c"), seen_within="1 day")
+    query.awaitTermination()
+    assert len(numbers(spark, store)) == 25 and adaptive == ["true"] * 3
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(states) == 3 and 0 < max(states) <= 4
