@@ -2,11 +2,12 @@
 
 Every assistant turn is the target of an example of its own: all turns before
 it are the context, and only its text is trainable.  The examples of a
-conversation share their beginnings, so each formatted turn is stored once, with
+conversation share their beginnings, so each formatted turn is stored and moved once, with
 the place where it begins in the conversation's text: an example is that text
-up to the end of its target, and a span of it is under the loss.  What is
-stored so grows with the input also where one conversation has a large share
-of all turns; ``whole_examples`` writes the examples out.
+up to the end of its target, and a span of it is under the loss.
+``whole_examples`` writes the examples out; ``conversation_digests`` expands
+them in the task that reads them back.  The text of the examples of one conversation
+grows with the square of its turns, and with it the time of its task, not its memory or disk.
 
 A turn reads ``<|im_start|>role`` + line end + text + ``<|im_end|>`` + line
 end.  In texts and roles a backslash is put before the bar of ``<|`` (and one
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -130,43 +132,64 @@ def _in_order(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
 
 
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Prefix-target expansion of pieces in order: ``conv_id, example, text, loss_begin, loss_end``.
+
+    Every reply gives the whole text up to its end.  Turns after the last reply are in no example: a
+    conversation that ends with such turns also gives its whole text, with null for the other columns.
+    """
+    none = object()
+    conv, text, tail = none, "", False
+    for batch in batches:
+        for here, piece, example, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "example", "loss_begin", "loss_end")), strict=True):
+            if here != conv:
+                if tail:
+                    yield conv, None, text, None, None
+                conv, text = here, ""
+            text += piece
+            tail = example is None
+            if not tail:
+                yield conv, example, text, low, high
+    if tail:
+        yield conv, None, text, None, None
+
+
 def whole_examples(pieces: DataFrame) -> DataFrame:
     """The examples written out: ``conv_id, example, text, loss_begin, loss_end`` (the span is in code points of ``text``).
 
     A conversation is read in order by one task, which holds one example at a time, as a row of the result does.
     """
     kind = dict(pieces.dtypes)["conv_id"]
-    none = object()
+    names = ["conv_id", "example", "text", "loss_begin", "loss_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, text = none, ""
-        for batch in batches:
-            ids = batch.column("conv_id")
-            for i, (here, piece, example) in enumerate(zip(ids.to_pylist(), batch.column("piece").to_pylist(), batch.column("example").to_pylist(), strict=True)):
-                if here != conv:
-                    conv, text = here, ""
-                text += piece
-                if example is not None:
-                    spans = [batch.column(c).slice(i, 1) for c in ("loss_begin", "loss_end")]
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), pa.array([example], pa.int64()), pa.array([text]), *spans], ["conv_id", "example", "text", "loss_begin", "loss_end"])
+        first = next(batches, None)
+        if first is None:
+            return
+        types = [first.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for row in _expanded(chain([first], batches)):
+            if row[1] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     return _in_order(pieces).mapInArrow(run, f"conv_id {kind}, example long, text string, loss_begin long, loss_end long")
 
 
 class _Reading:
-    """A conversation as it is read back, turn by turn."""
+    """A conversation as it is read back, example by example."""
 
     def __init__(self, conv) -> None:
         self.conv, self.n_turns, self.loss_chars, self.formatted_chars = conv, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, piece: str, loss: slice | None) -> None:
-        role, text = read_turn(piece)
-        self.n_turns += 1
-        self.formatted_chars += len(piece)
-        self.turns.update(f"{role}\n{text}\n".encode())
-        if loss is not None:
-            trained = unescaped(piece[loss])
+    def add(self, text: str, low: int | None, high: int | None) -> None:
+        """The turns of an example after its predecessor's end, and its trainable part."""
+        for piece in text[self.formatted_chars :].split(END + "\n")[:-1]:
+            role, said = read_turn(piece + END + "\n")
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{said}\n".encode())
+        self.formatted_chars = len(text)
+        if low is not None:
+            trained = unescaped(text[low:high])
             self.loss_chars += len(trained)
             self.loss.update(trained.encode())
 
@@ -175,30 +198,38 @@ class _Reading:
 
 
 def conversation_digests(pieces: DataFrame) -> DataFrame:
-    """What is read back from the formatted turns, per conversation.
+    """What is read back from the examples, per conversation.
 
-    ``formatted_chars`` counts the stored text, each piece once.  A hash is
-    made from its text in order, so a conversation is read by one task, of
-    which only the hashes' states are held.
+    The task that expands a conversation reads each example back: its trainable part by its span, its turns by the marks.
+    ``formatted_chars`` is the length of the longest text, that of the whole conversation.  Of a conversation one
+    example at a time and the hashes' states are held.
     """
     kind = dict(pieces.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reading = None
-        for batch in batches:
-            types = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            done = []
-            for conv, piece, begin, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "begin", "loss_begin", "loss_end")), strict=True):
-                if reading is None or conv != reading.conv:
-                    if reading is not None:
-                        done.append(reading.row())
-                    reading = _Reading(conv)
-                reading.add(piece, None if low is None else slice(low - begin, high - begin))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
+        first = next(batches, None)
+        if first is None:
+            return
+        types = [first.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        reading, done = None, []
+
+        def rows() -> pa.RecordBatch:
+            found = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(found, names)
+
+        for conv, _, text, low, high in _expanded(chain([first], batches)):
+            if reading is None or conv != reading.conv:
+                if reading is not None:
+                    done.append(reading.row())
+                reading = _Reading(conv)
+            reading.add(text, low, high)
+            if len(done) >= BLOCK:
+                yield rows()
         if reading is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(reading.row(), types, strict=True)], names)
+            done.append(reading.row())
+            yield rows()
 
     return _in_order(pieces).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

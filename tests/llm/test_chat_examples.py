@@ -104,3 +104,18 @@ def test_escaping_in_columns(spark):
     texts = ["<|", "<\\|", "<\\\\|x<|", "<<|", "||<", "$1\\", "<\\", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e")).collect()
     assert all(r.e == "".join(_step(r.t)) and chat.unescaped(r.e) == r.t and "<|" not in r.e for r in rows)
+
+
+def test_the_digests_are_read_from_whole_examples(spark, monkeypatch):
+    """Each reply is read from an example with its whole context, also where turns follow the last one."""
+    import pyarrow as pa
+
+    turns = [("user", "q"), ("assistant", "a<|"), ("user", "r"), ("assistant", "b"), ("user", "end")]
+    pieces = [plain_turn(*t) for t in turns]
+    begins = [len("".join(pieces[:i])) for i in range(5)]
+    spans = [(b + len("<|im_start|>assistant\n"), b + len(p) - len("<|im_end|>\n")) if i % 2 else (None, None) for i, (b, p) in enumerate(zip(begins, pieces, strict=True))]
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1] * 5, "piece": pieces, "example": [None, 0, None, 1, None], "loss_begin": [s[0] for s in spans], "loss_end": [s[1] for s in spans]})
+    whole = ["".join(pieces[:n]) for n in (2, 4, 5)]
+    assert list(chat._expanded(iter([batch]))) == [(1, 0, whole[0], *spans[1]), (1, 1, whole[1], *spans[3]), (1, None, whole[2], None, None)]
+    rows = [(1, i, *t) for i, t in enumerate(turns)] + [(2, 0, "user", "no reply")]
+    check(spark, rows)
