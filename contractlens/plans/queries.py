@@ -580,7 +580,8 @@ def _as_csv(spark, sf) -> str:
             "quantity": F.when(F.col("quantity") == 50, "fifty").otherwise(F.col("quantity").cast("string")),
         }
     )
-    tables.write_csv(rows.repartition(8), path)
+    files = tables.csv_files(cat.line_items(spark, sf).count())
+    tables.write_csv(rows.repartition(files), path)
     return path
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ CSV_TYPES = {
 
 CORRUPT = "_corrupt_record"
 
+# Rows of a CSV file that one task writes and reads.
+CSV_FILE_ROWS = 200_000
+
 
 def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All records as text, with those that do not fit their header whole in ``CORRUPT``.
@@ -97,6 +102,11 @@ def read_contracts_csv(
     return type_columns(read_csv_text(spark, path), types)
 
 
+def csv_files(rows: int) -> int:
+    """Into how many files so many rows go, as a file with line ends in cells is read by one task."""
+    return max(8, math.ceil(rows / CSV_FILE_ROWS))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -420,3 +420,23 @@ def test_seen_contracts_share_few_states(spark, tmp_path, monkeypatch):
     assert len(numbers(spark, store)) == 25 and adaptive == ["true"] * 3
     states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
     assert len(states) == 3 and 0 < max(states) <= 4
+
+
+def test_csv_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """A file with line ends in cells is read by one task, so more rows make more files."""
+    from contractlens.plans import queries
+
+    assert tables.csv_files(0) == tables.csv_files(1_600_000) == 8 and tables.csv_files(200_000_001) == 1001
+    monkeypatch.setattr(tables, "CSV_FILE_ROWS", 4)
+    day = dt.datetime(1996, 1, 2)
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    spark.range(40).selectExpr(
+        "id l_orderkey", "1L l_partkey", "1L l_suppkey", "1 l_linenumber", "10d l_quantity", "100d l_extendedprice", "'N' l_returnflag", "'O' l_linestatus",
+        "timestamp'1996-01-03' l_shipdate").write.parquet(at("lineitem"))
+    spark.createDataFrame([(1, "bolt", "B", 5)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(at("part"))
+    spark.range(40).selectExpr("id o_orderkey", "1L o_custkey", "'1-URGENT' o_orderpriority").withColumn("o_orderdate", F.lit(day)).write.parquet(at("orders"))
+    spark.createDataFrame([(1, "c", 1, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(at("customer"))
+    spark.createDataFrame([(1, "X")], "n_nationkey int, n_name string").write.parquet(at("nation"))
+    path = queries._as_csv(spark, str(tmp_path))
+    files = list(pathlib.Path(path.removeprefix("file:")).glob("*.csv"))
+    assert len(files) == 10 and len(tables.read_csv_text(spark, path).select("contract_number").collect()) == 40
