@@ -206,3 +206,23 @@ def test_outcome_decodes_references_and_leaves_the_title_out(spark):
     )
     got = [r.outcome for r in P.with_outcome(rows).orderBy("page_id").collect()]
     assert got == ["no_results", "no_results", "unknown", "results", "unknown", "unknown"]
+
+
+def test_a_tag_met_before_reads_as_the_first_time():
+    """Tags are looked up by their text: what stands around them must not change what they say."""
+    from contractlens.sources import blocks
+
+    def seen(html):
+        texts, elements = blocks._scan(html)
+        return texts, [(e.tag, list(e.classes), e.start, e.end) for e in elements]
+
+    pages = [
+        '<div class="border block">a<b class=\'x>y\'>c</b></div>', '<div class="a>b" id=c>d</div>', '<a b="x"c="y">z</a>', '<p title=it\'s>q<p class="k">r',
+        '<table><tr><td>1<td>2</table>', '<a b="', '<a b="x">1</a><a b="x', "<x<y>z</x<y>", "<br/><BR>a</br>", "<script>a<b</script>c", "<title>",
+    ]
+    first = []
+    for page in pages:
+        blocks._KNOWN.clear()
+        first.append(seen(page))
+    assert [seen(p) for p in pages] == first == [seen(p) for p in pages]
+    assert 0 < len(blocks._KNOWN) and not any("'" in t for t in blocks._KNOWN)
