@@ -440,3 +440,45 @@ def test_csv_files_grow_with_the_rows(spark, tmp_path, monkeypatch):
     path = queries._as_csv(spark, str(tmp_path))
     files = list(pathlib.Path(path.removeprefix("file:")).glob("*.csv"))
     assert len(files) == 10 and len(tables.read_csv_text(spark, path).select("contract_number").collect()) == 40
+
+
+@pytest.mark.parametrize("rows, days", [(40, 4), (40, 1), (0, 1)])
+def test_stream_parts_of_many_files(spark, tmp_path, monkeypatch, rows, days):
+    """A part is written by several tasks, and a batch of so many files is one part, also where parts are short or empty."""
+    from contractlens.plans import catalogue as cat
+
+    monkeypatch.setattr(cat, "STREAM_FILE_ROWS", 4)
+    df = spark.range(rows).select("id", (F.lit(DAY).cast("timestamp") + F.make_dt_interval((F.col("id") % days).cast("int"))).alias("t"))
+    if not rows:
+        df = df.withColumn("t", F.lit(DAY).cast("timestamp"))
+        df = df.unionByName(spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "id long, t timestamp"))
+    path = str(tmp_path / "in")
+    files = cat.as_stream_files(df, "t", path, 4)
+    assert files == (3 if rows else 1)
+    assert len([f for f in (tmp_path / "in").iterdir() if f.name.startswith("part-")]) == 4 * files
+    batches = []
+    source = ingest.page_stream(spark, path, df.schema, files_per_batch=files)
+    note = lambda part, _: batches.append(sorted({r.t.day for r in part.collect()}))
+    source.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 4 and [d for b in batches for d in b] == list(range(1, days + 1))
+
+
+def test_spread_counts_the_rows_of_each_partition(spark, tmp_path):
+    """One row group in a file cut into many splits: all rows would be in one task."""
+    from pyspark.sql import functions as F
+
+    from contractlens.operators.scale import spread
+
+    path = str(tmp_path / "one")
+    spark.range(100_000).withColumn("x", F.rand(1)).coalesce(1).write.option("parquet.block.size", 1 << 30).parquet(path)
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= 8
+        sizes = [r["count"] for r in spread(df, 8).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 100_000 and len(sizes) == 8 and max(sizes) < 20_000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
