@@ -20,14 +20,15 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
-    """Line items with order, customer, nation and part."""
+    """Line items with order, customer, nation and part.
+
+    Customers are joined to the fewer orders first, so that line items move by order only, not by customer again.
+    """
     t = lambda name: table(spark, sf_dir, name)
     return (
         (line_items(spark, sf_dir) if items is None else items)
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(order_details(t("orders"), spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     )
 
 

@@ -482,3 +482,14 @@ def test_spread_counts_the_rows_of_each_partition(spark, tmp_path):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_line_items_meet_parts_and_orders_only(spark, sf):
+    """Customers and nations are joined to the orders, not to the many more line items."""
+    from contractlens.plans import catalogue as cat
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return (plan.nodeName() == "Join" and "l_extendedprice" in plan.toString()) + sum(map(joins, below))
+
+    assert joins(cat.contracts(spark, sf)._jdf.queryExecution().optimizedPlan()) == 2
