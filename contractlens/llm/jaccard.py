@@ -11,8 +11,10 @@ once.
 Groups of copies are folded first: equal sets become one, and each shared
 prefix shingle links its members to a few of them, not to each other.  What
 is linked already needs no further pair; only prefix shingles whose members
-still lie in different classes are joined in full.  So no group is expanded
-into all its pairs, and no link between classes is lost.
+still lie in different classes are joined in full, where the first shingle two
+sets share must stand early enough in both, and parity sketches of the sets
+show most that differ too much.  So no group is expanded into all its pairs,
+and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -27,13 +29,17 @@ from pyspark.sql import functions as F
 
 from contractlens.llm.common import PERCENT, SHINGLE, by_slice, intersection, limited, mixed, shingle_sets
 from contractlens.llm.components import components
-from contractlens.operators.scale import durable
+from contractlens.operators.scale import Steps, durable
 
 # Counters of the rarity sketch, in segments that are summed apart: 16 MB in
 # all, whatever the corpus.  It only orders shingles; a fuller sketch costs speed.
 COUNTERS = 1 << 22
 SEGMENTS = 64
 
+# A set's parity sketch: 64 bits in each of so many columns.
+PARITIES = 8
+PARITY = [f"p{k}" for k in range(PARITIES)]
+
 # Rounds at most that link members of a shingle to a few of them before the full join.
 STAR_ROUNDS = 3
 OFFERS = 4
@@ -49,6 +55,19 @@ def prints(sets: list[np.ndarray]) -> np.ndarray:
     return values.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each set: of each of its bits, whether an odd number of the set's members fall on it.
+
+    What two sets share cancels out between their sketches, so no more bits
+    differ than members do.
+    """
+    bits = 64 * PARITIES
+    odd = np.zeros((len(sets), bits), np.uint8)
+    for row, own in zip(odd, sets, strict=True):
+        row[:] = np.bincount((own >> np.uint64(22) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8").reshape(len(sets), PARITIES)
+
+
 def _pack(counts: np.ndarray) -> bytes:
     return zlib.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), 1)
 
@@ -58,7 +77,8 @@ def _segments(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "counts"])
 
 
-SET_ROWS = "key long, t long, n long, node long, segment int, counts binary"
+SET_NAMES = ["key", "t", "n", "node", *PARITY]
+SET_ROWS = ", ".join(f"{c} long" for c in SET_NAMES) + ", segment int, counts binary"
 
 
 def _set_rows(text: str):
@@ -73,6 +93,7 @@ def _set_rows(text: str):
                 at, n = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
                 counts[at.astype(np.int64)] += n
             columns = [part.column("key"), part.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints(sets))]
+            columns += [pa.array(c) for c in np.ascontiguousarray(parities(sets).T)]
             return _row_batch(columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
 
         yield from by_slice(text, work)(batches)
@@ -80,19 +101,19 @@ def _set_rows(text: str):
         touched = {s: c for s, c in touched.items() if c.any()}
         if touched:
             found = _segments(touched)
-            yield _row_batch([pa.nulls(len(touched), pa.int64())] * 4, found.column(0), found.column(1))
+            yield _row_batch([pa.nulls(len(touched), pa.int64())] * len(SET_NAMES), found.column(0), found.column(1))
 
     return run
 
 
 def _row_batch(rows: list[pa.Array], segment: pa.Array, counts: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows, segment, counts], names=["key", "t", "n", "node", "segment", "counts"])
+    return pa.RecordBatch.from_arrays([*rows, segment, counts], names=[*SET_NAMES, "segment", "counts"])
 
 
 def read_sets(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """In one pass over ``key, t, text``: ``key, t, n, node`` (size and print of each row's set), and parts of the rarity sketch."""
+    """In one pass over ``key, t, text``: ``key, t, n, node`` (size and print of each row's set) with its parities, and parts of the rarity sketch."""
     both = durable(docs.select("key", "t", text).mapInArrow(_set_rows(text), SET_ROWS))
-    return both.where("segment IS NULL").select("key", "t", "n", "node"), both.where("segment IS NOT NULL").select("segment", "counts")
+    return both.where("segment IS NULL").select(*SET_NAMES), both.where("segment IS NOT NULL").select("segment", "counts")
 
 
 def _sum_segments(batches):
@@ -173,6 +194,26 @@ def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (100 * most >= PERCENT * (n + m - most))
 
 
+def _reach_from(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """May two sets whose first common shingle stands at places ``i`` of ``n`` and ``j`` of ``m`` reach the threshold?
+
+    The first one passes this wherever the sets do, so a pair needs no other
+    shingle to be found.
+    """
+    most = F.least(n - i, m - j)
+    return 100 * most >= PERCENT * (n + m - most)
+
+
+def _near_by_parity() -> Column:
+    """May sets of ``n`` and ``m`` whose parities are ``p..`` and ``q..`` reach the threshold?
+
+    At least as many members are in one set only as bits differ.
+    """
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"q{PARITY[0]}"))))
+    # the intersection is (n + m - apart) / 2 at most, the union (n + m + apart) / 2 at least
+    return 100 * (F.col("n") + F.col("m") - apart) >= PERCENT * (F.col("n") + F.col("m") + apart)
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, parts: int = 16) -> int:
     """Upper bound of the intersection, from the sizes of the parts of both sets between common pivots."""
     if len(a) < parts or len(b) < parts:
@@ -244,6 +285,31 @@ def shared_prefixes(docs: DataFrame, text: str, counts) -> DataFrame:
     return rows.select("shingle", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(2**32 - 1).alias("i")).distinct()
 
 
+def _star_pairs(now: DataFrame, step: int) -> DataFrame:
+    """``a, b`` of members of a shingle and a few of them, in each round others, that lie in other classes."""
+    seeds = [F.xxhash64("node", F.lit(OFFERS * step + k)) for k in range(OFFERS)]
+    firsts = F.array_distinct(F.array(*[F.min_by(F.struct("node", "class", "n", "i", "c"), seed) for seed in seeds]))
+    offered = now.groupBy("shingle").agg(firsts.alias("h")).select("shingle", F.explode("h").alias("h")).select("shingle", "h.*")
+    other = offered.select(
+        "shingle", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d")
+    )
+    near = (F.col("class") != F.col("b_class")) & _may_reach(F.col("n"), F.col("i"), F.col("m"), F.col("j")) & _enough_shared(F.least("c", "d"))
+    met = now.select("shingle", F.col("node").alias("a"), "n", "i", "class", "c").join(other, "shingle").where(near)
+    shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both")).where(_enough_shared(F.col("both")))
+    return shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(now: DataFrame) -> DataFrame:
+    """``a, b`` of all members of a shingle that lie in different classes and may reach the threshold."""
+    other = now.select(
+        "shingle", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"),
+        *[F.col(p).alias(f"q{p}") for p in PARITY],
+    )
+    near = (F.col("class") > F.col("b_class")) & _reach_from(F.col("n"), F.col("i"), F.col("m"), F.col("j")) & _enough_shared(F.least("c", "d"))
+    met = now.withColumnRenamed("node", "a").join(other, "shingle").where(near & _near_by_parity())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, heads: DataFrame, text: str, counts) -> DataFrame:
     """``node, root`` of nodes that are not the root of their class.
 
@@ -251,35 +317,29 @@ def link_classes(docs: DataFrame, heads: DataFrame, text: str, counts) -> DataFr
     in each round others by a hash, so that members of one group meet the
     same few.  What they link is not paired again.  When a round links nothing,
     or after ``STAR_ROUNDS``, all members of different classes are joined.
+    What only one round reads is removed when the round ends.
     """
     rows = durable(shared_prefixes(docs, text, counts))
     links, roots, last = None, None, False
     for step in range(STAR_ROUNDS + 1):
         last = last or step == STAR_ROUNDS
-        now = _with_class(rows, roots)
-        least, most = F.min("class").alias("least"), F.max("class").alias("most")
-        mixed = now.groupBy("shingle").agg(least, most).where("least < most").select("shingle")
-        # no two sets share more prefix shingles than either has left here
-        left = F.count("*").over(W.partitionBy("node"))
-        now = durable(now.join(mixed, "shingle").withColumn("c", left))
-        seeds = [F.xxhash64("node", F.lit(OFFERS * step + k)) for k in range(OFFERS)]
-        firsts = F.array_distinct(F.array(*[F.min_by(F.struct("node", "class", "n", "i", "c"), seed) for seed in seeds]))
-        offered = now if last else now.groupBy("shingle").agg(firsts.alias("h")).select("shingle", F.explode("h").alias("h")).select("shingle", "h.*")
-        other = offered.select(
-            "shingle", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d")
-        )
-        apart = F.col("class") > F.col("b_class") if last else F.col("class") != F.col("b_class")
-        near = apart & _may_reach(F.col("n"), F.col("i"), F.col("m"), F.col("j")) & _enough_shared(F.least("c", "d"))
-        met = now.select("shingle", F.col("node").alias("a"), "n", "i", "class", "c").join(other, "shingle").where(near)
-        shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both")).where(_enough_shared(F.col("both")))
-        pairs = durable(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = None if pairs.isEmpty() else durable(verified(pairs, docs, heads, text))
-        if found is not None and not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = durable(components(links))
-        elif not last:
-            last = True
-            continue
+        with Steps(docs.sparkSession) as steps:
+            now = _with_class(rows, roots)
+            least, most = F.min("class").alias("least"), F.max("class").alias("most")
+            mixed = now.groupBy("shingle").agg(least, most).where("least < most").select("shingle")
+            # no two sets share more prefix shingles than either has left here
+            now = now.join(mixed, "shingle").withColumn("c", F.count("*").over(W.partitionBy("node")))
+            if last:
+                now = now.join(heads.select("node", *PARITY), "node")
+            now = durable(now)
+            pairs = durable(all_pairs(now) if last else _star_pairs(now, step))
+            found = None if pairs.isEmpty() else steps.keep(verified(pairs, docs, heads, text))
+            if found is not None and not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = steps.keep(components(links))
+            elif not last:
+                last = True
+                continue
         if last:
             break
     return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
@@ -299,11 +359,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = named.withColumn("t", F.xxhash64("key", "text"))
     sized, sketch = read_sets(named, "text")
     counts = docs.sparkSession.sparkContext.broadcast(rarity(sketch))
-    heads = durable(
-        sized.where("n > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("k"), "key", "t")).alias("h")).select("node", "h.key", "h.t")
-    )
-    roots = link_classes(named.where("text IS NOT NULL"), heads, "text", counts)
-    classes = durable(_with_class(heads.select("node", "key"), roots))
+    with Steps(docs.sparkSession) as steps:
+        # equal sets have equal parities
+        first = F.min(F.struct(F.coalesce("key", F.lit(2**63 - 1)).alias("k"), "key", "t", *PARITY)).alias("h")
+        heads = durable(sized.where("n > 0").groupBy("node").agg(first).select("node", "h.key", "h.t", *[f"h.{p}" for p in PARITY]))
+        roots = link_classes(named.where("text IS NOT NULL"), heads, "text", counts)
+        classes = steps.keep(_with_class(heads.select("node", "key"), roots))
     least = classes.groupBy("class").agg(F.min("key").alias("component"))
     found = classes.join(least, "class").select("node", "component")
     joined = sized.join(found, "node", "left")

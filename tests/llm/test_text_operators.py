@@ -80,6 +80,36 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_copies_too_far_apart(spark, monkeypatch):
+    """Copies of one text that do not reach each other are told apart before their sets are compared."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        w = [f"b{i}" for i in range(150)]
+        for i in rng.choice(150, 1 if k % 10 == 0 else 4, replace=False):
+            w[i] = f"x{k}_{i}"
+        rows.append((k, " ".join(w)))
+    compared, real = [], jaccard.verified
+
+    def verified(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", verified)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == components(rows)
+    assert compared[-1] < 1000, compared
+
+
+def test_parities_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = (rng.choice(3000, rng.integers(0, 600), replace=False).astype(np.uint64) << np.uint64(22) for _ in range(2))
+        p, q = jaccard.parities([a, b])
+        apart = sum(int(x).bit_count() for x in (p ^ q).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_passages(spark):
     rng = np.random.default_rng(1)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
