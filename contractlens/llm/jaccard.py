@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contractlens.llm.common import PERCENT, SHINGLE, by_slice, intersection, limited, mixed, shingle_sets
+from contractlens.llm.common import PERCENT, SHINGLE, arrow_rows, by_slice, intersection, limited, mixed, shingle_sets
 from contractlens.llm.components import components
 from contractlens.operators.scale import Steps, durable
 
@@ -40,6 +40,9 @@ SEGMENTS = 64
 PARITIES = 8
 PARITY = [f"p{k}" for k in range(PARITIES)]
 
+# Rows that go to Python at a time; each carries a text, or two sets.
+TEXT_ROWS = 512
+
 # Rounds at most that link members of a shingle to a few of them before the full join.
 STAR_ROUNDS = 3
 OFFERS = 4
@@ -319,7 +322,8 @@ def link_classes(docs: DataFrame, heads: DataFrame, text: str, counts) -> DataFr
     or after ``STAR_ROUNDS``, all members of different classes are joined.
     What only one round reads is removed when the round ends.
     """
-    rows = durable(shared_prefixes(docs, text, counts))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        rows = durable(shared_prefixes(docs, text, counts))
     links, roots, last = None, None, False
     for step in range(STAR_ROUNDS + 1):
         last = last or step == STAR_ROUNDS
@@ -333,7 +337,8 @@ def link_classes(docs: DataFrame, heads: DataFrame, text: str, counts) -> DataFr
                 now = now.join(heads.select("node", *PARITY), "node")
             now = durable(now)
             pairs = durable(all_pairs(now) if last else _star_pairs(now, step))
-            found = None if pairs.isEmpty() else steps.keep(verified(pairs, docs, heads, text))
+            with arrow_rows(docs.sparkSession, TEXT_ROWS):
+                found = None if pairs.isEmpty() else steps.keep(verified(pairs, docs, heads, text))
             if found is not None and not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 roots = steps.keep(components(links))
@@ -357,7 +362,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     named = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
     named = named.withColumn("t", F.xxhash64("key", "text"))
-    sized, sketch = read_sets(named, "text")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        sized, sketch = read_sets(named, "text")
     counts = docs.sparkSession.sparkContext.broadcast(rarity(sketch))
     with Steps(docs.sparkSession) as steps:
         # equal sets have equal parities

@@ -6,10 +6,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from contractlens.llm import jaccard, licenses, mixing, passages, quality, tokens
+from contractlens.llm.common import by_slice
 from contractlens.llm.queries import RANKS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -242,3 +244,28 @@ def test_ids_hash(spark, sf):
         ids = exact.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """However many rows a task has, neither the engine nor Python holds many texts, or their words, at once."""
+    seen, write = [], jaccard.durable
+
+    def durable(df):
+        if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return write(df)
+
+    monkeypatch.setattr(jaccard, "durable", durable)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = [" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41)), "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        assert [tuple(r) for r in jaccard.jaccard_components(df).orderBy("doc_id").collect()] == [(0, 36, 0), (1, 36, 0), (2, 1, 2)]
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(seen) >= 3 and max(seen) <= 512
+    batch = pa.record_batch([pa.array(["word " * 200] * 4000)], names=["text"])
+    parts = list(by_slice("text", lambda part: part)([batch]))
+    assert sum(p.num_rows for p in parts) == 4000 and max(p.num_rows for p in parts) * 1000 < 1 << 20
