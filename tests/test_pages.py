@@ -226,3 +226,56 @@ def test_a_tag_met_before_reads_as_the_first_time():
         first.append(seen(page))
     assert [seen(p) for p in pages] == first == [seen(p) for p in pages]
     assert 0 < len(blocks._KNOWN) and not any("'" in t for t in blocks._KNOWN)
+
+
+def _page(rows=40):
+    row = "<tr>" + "".join(f"<td>{c}</td>" for c in "abcde") + "</tr>"
+    labels = "<p><strong>Ministry:</strong>\n <span>N</span></p>" * 20
+    return f'<div class="border block"><div class="block_header"><p>Contract No: GEMC-1</p></div>{labels}<table class="table table-striped">{row * rows}</table></div>'
+
+
+def test_a_page_is_read_in_few_calls():
+    """Reading pages is the cost of extraction: some five calls a tag, where there were ten."""
+    import sys
+
+    page, calls = _page(), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    first = parse_page(page)
+    sys.setprofile(count)
+    try:
+        again = parse_page(page)
+    finally:
+        sys.setprofile(None)
+    assert again == first and len(first[0]["cells"]) == 40 and len(first[0]["labels"]) == 20
+    assert calls < 7 * page.count("<")
+
+
+@pytest.mark.parametrize("windows", [(1, 1), (7, 3), (64, 16)])
+def test_windows_do_not_change_what_is_read(monkeypatch, windows):
+    from contractlens.sources import blocks
+
+    odd = ["<p title=it's>", "a > b", "<x<y>", "<!-- <p> -->", "<script>a<b</script>", "&am<b>p;</b>", "</td>", "<p>", "<br/>", "<" + "a" * 300 + ">", "<td", "</"]
+    pages = [_page(3) + "".join(odd[k:]) + _page(1) + "".join(odd[:k]) for k in range(len(odd))]
+    whole = [blocks.read_blocks(p) for p in pages]
+    monkeypatch.setattr(blocks, "_WINDOW", windows[0])
+    monkeypatch.setattr(blocks, "_FIRST_WINDOW", windows[1])
+    assert [blocks.read_blocks(p) for p in pages] == whole
+
+
+def test_labels_are_stripped_of_all_white_space_without_patterns(spark):
+    import re
+
+    from contractlens.functions.scalars import strip_space
+
+    kind = re.compile(f"[{values.SPACE}]", re.ASCII)
+    assert {c for c in map(chr, range(0x10000)) if kind.fullmatch(c)} == set(values.SPACES)
+    texts = [s + "a" + c + "b" + t for c in values.SPACES for s, t in ((c, c), ("", c + "\n"), (" " + c, ""))] + [values.SPACES, "", None, "​x﻿"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_space(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.t and r.t.strip(values.SPACES) for r in rows]
+    lines = P.contract_lines(pages(spark, block("GEMC-1")))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 6  # prices only
