@@ -14,6 +14,7 @@ from contractlens.plans import catalogue as cat
 from contractlens.plans.runs import run_analysis, run_pipeline, save_anomalies, score_contracts
 from contractlens.sources import pages as P
 from contractlens.sources import tables
+from contractlens.sources.growing import Files
 from contractlens.streaming import ingest
 from contractlens.streaming import timing as stream_timing_of
 
@@ -582,8 +583,10 @@ def _as_csv(spark, sf) -> str:
             "quantity": F.when(F.col("quantity") == 50, "fifty").otherwise(F.col("quantity").cast("string")),
         }
     )
-    files = tables.csv_files(cat.line_items(spark, sf).count())
-    tables.write_csv(rows.repartition(files), path)
+    lines = cat.line_items(spark, sf).count()
+    if lines <= tables.CSV_MOVED_ROWS:
+        rows = rows.repartition(tables.csv_files(lines))
+    tables.write_csv(rows, path, tables.CSV_FILE_ROWS if lines > tables.CSV_MOVED_ROWS else None)
     return path
 
 
@@ -599,8 +602,13 @@ def csv_problems(spark, sf):
 
 
 def _csv_run(spark, sf):
-    out = fresh_path(spark, "run")
-    return run_pipeline(spark, _as_csv(spark, sf), out, order="contract_number"), out
+    path, out = _as_csv(spark, sf), fresh_path(spark, "run")
+
+    def drop_text(name):
+        if name == "csv_rejects":  # the last table that reads the text
+            Files(spark, path).delete("")
+
+    return run_pipeline(spark, path, out, order="contract_number", on_step=drop_text), out
 
 
 def csv_to_hhi(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,9 @@ class Outputs:
     report: DataFrame
 
 
-def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id", multi_line: bool = True) -> Outputs:
+def run_pipeline(
+    spark: SparkSession, path: str, out: str, order: str = "id", multi_line: bool = True, on_step: Callable[[str], None] | None = None,
+) -> Outputs:
     """CSV of clean contracts to ``hhi_by_ministry``, ``scored``,
     ``flagged_anomalies``, ``run_metrics`` and ``run_report`` under ``out``.
 
@@ -61,22 +64,32 @@ def run_pipeline(spark: SparkSession, path: str, out: str, order: str = "id", mu
     columns.  Cells that do not fit their type are counted in
     ``csv_problems``, records that do not fit their header are in ``csv_rejects``.  The scored table is written once; review list and figures
     read it.  ``multi_line=False`` lets large files be read by many tasks,
-    where no cell holds a line end.
+    where no cell holds a line end.  ``on_step`` is called with the name of each table once it is written;
+    after ``csv_rejects`` the text is not read again.
     """
+    step = on_step or (lambda name: None)
     with Steps(spark):
         text = read_csv_text(spark, path, multi_line)
         contracts = write_table(type_columns(text), f"{out}/contracts")
+        step("contracts")
         problems = write_table(csv_problems(text), f"{out}/csv_problems")
+        step("csv_problems")
         rejects = write_table(csv_rejects(spark, path, multi_line), f"{out}/csv_rejects")
+        step("csv_rejects")
         hhi = compute_hhi(contracts, "ministry", "brand")
         write_csv(hhi, f"{out}/hhi_by_ministry")
+        step("hhi_by_ministry")
 
         scored = write_table(score_contracts(contracts, order=order), f"{out}/scored")
+        step("scored")
         flagged = review_list(scored, order)
         write_csv(flagged, f"{out}/flagged_anomalies")
+        step("flagged_anomalies")
         metrics = write_table(run_metrics(scored), f"{out}/run_metrics")
+        step("run_metrics")
         lines = report_lines(metrics, missing_rate(contracts), hhi, "ministry")
         report = write_table(lines, f"{out}/run_report")
+        step("run_report")
     return Outputs(hhi, flagged, metrics, problems, rejects, report)
 
 

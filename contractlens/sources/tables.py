@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from contractlens import values
 from contractlens.functions.scalars import missing_to_null, parse_when
 from contractlens.operators.dedup import latest_per_key
+from contractlens.operators.scale import shuffles_end
 from contractlens.sources.growing import Growing
 
 # types of the detector input; every other CSV column stays text
@@ -33,6 +34,10 @@ CORRUPT = "_corrupt_record"
 # Rows of a CSV file that one task writes and reads.
 CSV_FILE_ROWS = 200_000
 
+# More rows than this are written where they are, each task in files of ``CSV_FILE_ROWS`` rows: moved once more, they would
+# take nearly as much disk as the text itself.
+CSV_MOVED_ROWS = 2_000_000
+
 
 def _read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All records as text, with those that do not fit their header whole in ``CORRUPT``.
@@ -107,13 +112,17 @@ def csv_files(rows: int) -> int:
     return max(8, math.ceil(rows / CSV_FILE_ROWS))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, file_rows: int | None = None) -> None:
+    """Replace the text files at ``path``; with ``file_rows`` none has more rows."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    with shuffles_end(df.sparkSession):
+        writer.option("maxRecordsPerFile", file_rows or 0).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replace the Parquet table at ``path`` and read it back."""
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

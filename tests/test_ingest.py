@@ -493,3 +493,38 @@ def test_line_items_meet_parts_and_orders_only(spark, sf):
         return (plan.nodeName() == "Join" and "l_extendedprice" in plan.toString()) + sum(map(joins, below))
 
     assert joins(cat.contracts(spark, sf)._jdf.queryExecution().optimizedPlan()) == 2
+
+
+def test_large_texts_are_written_where_their_rows_are(spark, sf, tmp_path, monkeypatch):
+    """Moved once more they would take nearly as much disk as the text; each task cuts its own files."""
+    from contractlens.plans import catalogue, queries
+
+    lines = catalogue.line_items(spark, sf).count()
+    small = sorted(map(tuple, queries.csv_scan(spark, sf).collect()), key=repr)
+    monkeypatch.setattr(tables, "CSV_MOVED_ROWS", 100)
+    monkeypatch.setattr(tables, "CSV_FILE_ROWS", 500)
+    written, write = [], tables.write_csv
+    monkeypatch.setattr(tables, "write_csv", lambda df, *how: (written.append(df), write(df, *how)))
+    path = queries._as_csv(spark, sf)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
+    files = [r.file for r in tables.read_csv_text(spark, path).select("contract_number", F.input_file_name().alias("file")).collect()]
+    assert len(files) == lines and max(files.count(f) for f in set(files)) <= 500
+    assert sorted(map(tuple, queries.csv_scan(spark, sf).collect()), key=repr) == small
+
+
+def test_text_of_a_run_goes_once_it_is_read(spark, sf, tmp_path, monkeypatch):
+    from contractlens.plans import queries
+
+    made, as_csv = [], queries._as_csv
+    monkeypatch.setattr(queries, "_as_csv", lambda *a: made.append(as_csv(*a)) or made[0])
+    run, out = queries._csv_run(spark, sf)
+    assert not pathlib.Path(made[0].removeprefix("file:")).exists()
+    assert run.metrics.first().contracts > 0 and run.rejects.count() == 0 and run.hhi.count() > 0
+    steps = []
+    from contractlens.plans.runs import run_pipeline
+
+    path = as_csv(spark, sf)
+    run_pipeline(spark, path, str(tmp_path / "out"), order="contract_number", on_step=steps.append)
+    assert steps.index("contracts") < steps.index("csv_problems") < steps.index("csv_rejects") < steps.index("scored") < steps.index("run_report")
+    assert pathlib.Path(path.removeprefix("file:")).exists()
