@@ -15,12 +15,23 @@ from contractlens.functions.scalars import MINUTE, without_nan
 NEVER = -(2**62)
 
 
+# Buyers are kept in this many groups, as a state and a call of their own each costs far more than their rows.
+BUYER_GROUPS = 256
+
+
 class Waiting:
-    """A buyer's rows that are not given out yet, in order, and the last one that was."""
+    """Rows of some buyers that are not given out yet, in order, and the last one of each buyer that was.
 
-    def __init__(self, last: tuple[int, float], rows: pd.DataFrame, window: int, tolerance: float) -> None:
+    ``rows`` has ``buyer, t, id, v``, ``last`` has ``buyer, t, v``.
+    """
+
+    def __init__(self, last: pd.DataFrame, rows: pd.DataFrame, window: int, tolerance: float) -> None:
         self.last, self.window, self.tolerance = last, window, tolerance
-        self.rows = rows.sort_values(["t", "id"], kind="stable").reset_index(drop=True)
+        # buyers by number: those of ``last`` first
+        self.names = pd.factorize(pd.concat([last["buyer"], rows["buyer"]], ignore_index=True), use_na_sentinel=False)
+        code = self.names[0][len(last) :]
+        order = np.lexsort((rows["id"].to_numpy(), rows["t"].to_numpy(), code))
+        self.code, self.rows = code[order], rows.iloc[order].reset_index(drop=True)
 
     def _close(self, earlier: np.ndarray, base: np.ndarray, later: np.ndarray, values: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -30,19 +41,40 @@ class Waiting:
 
     def settled(self, until: int) -> pd.DataFrame:
         """Take out the rows whose neighbours are known, as no row up to ``until`` is still to come."""
-        t, v = self.rows["t"].to_numpy(), self.rows["v"].to_numpy()
-        pairs = self._close(np.append(self.last[0], t[:-1]), np.append(self.last[1], v[:-1]), t, v) if len(t) else np.zeros(0, bool)
-        known = np.append(t[1:] <= until, False) if len(t) else np.zeros(0, bool)
-        # a row is settled when the next one is final, or when all that is to come is too far away
-        ready = (t <= until) & (known | (t + self.window < until))
-        n = int(ready.argmin()) if not ready.all() else len(ready)
-        flags = pairs | np.append(pairs[1:], False)
-        # the pair with a next row that may still move back is too far apart to count
-        done = pd.DataFrame({"id": self.rows["id"][:n], "t": t[:n], "flag": flags[:n]})
-        if n:
-            self.last = (int(t[n - 1]), float(v[n - 1]))
-        self.rows = self.rows[n:].reset_index(drop=True)
-        return done
+        code, t, v = self.code, self.rows["t"].to_numpy(), self.rows["v"].to_numpy()
+        count = len(self.names[1])
+        last_t, last_v = np.full(count, NEVER, np.int64), np.zeros(count)
+        given = self.names[0][: len(self.last)]
+        last_t[given], last_v[given] = self.last["t"].to_numpy(), self.last["v"].to_numpy()
+        if len(t):
+            begins = np.diff(code, prepend=-1) != 0
+            earlier = np.where(begins, last_t[code], np.roll(t, 1)), np.where(begins, last_v[code], np.roll(v, 1))
+            pairs = self._close(*earlier, t, v)
+            goes_on = np.append(~begins[1:], False)
+            known = goes_on & (np.roll(t, -1) <= until)
+            # a row is settled when the next one is final, or when all that is to come is too far away
+            ready = (t <= until) & (known | (t + self.window < until))
+            # those of a buyer up to the first that is not
+            open_before = np.cumsum(~ready)
+            settled = open_before == (open_before - ~ready)[np.maximum.accumulate(np.where(begins, np.arange(len(t)), 0))]
+            # the pair with a next row that may still move back is too far apart to count
+            flags = pairs | (goes_on & np.roll(pairs, -1))
+            done = self.rows[["buyer", "t", "id"]][settled].assign(flag=flags[settled])
+            last_t[code[settled]], last_v[code[settled]] = t[settled], v[settled]  # of equal codes the later one stays
+            self.code, self.rows = code[~settled], self.rows[~settled].reset_index(drop=True)
+        else:
+            done = self.rows[["buyer", "t", "id"]].assign(flag=np.zeros(0, bool))
+        # where no row waits, nothing to come can be near a last row that is far enough back
+        waits = np.zeros(count, bool)
+        waits[self.code] = True
+        kept = (last_t != NEVER) & (waits | (last_t + self.window >= until))
+        self.last = pd.DataFrame({"buyer": pd.Series(self.names[1])[kept], "t": last_t[kept], "v": last_v[kept]})
+        return done.reset_index(drop=True)
+
+    def next_time(self) -> int | None:
+        """The earliest time at which something here may change without new rows; None if nothing is here."""
+        times = [c["t"].min() for c in (self.rows, self.last) if len(c)]
+        return int(min(times)) + self.window if times else None
 
 
 def stream_timing_clusters(
@@ -61,8 +93,8 @@ def stream_timing_clusters(
     later than ``delay`` behind the latest seen; those are dropped.  ``order`` is a number
     that breaks ties in time.  A row is given out once its neighbours are
     known, that is when the watermark has passed the row after it, or the
-    row's whole window.  The state of a buyer is the rows of about the delay and the
-    window.  Rows without buyer or time go through at once, never flagged.
+    row's whole window.  The state holds, for each of ``BUYER_GROUPS`` groups of buyers, their rows of about the delay and the
+    window.  A checkpoint from before there were groups cannot be gone on with.  Rows without buyer or time go through at once, never flagged.
     """
     window = int(window_minutes * MINUTE)
     by, at = stream.schema[buyer].dataType.simpleString(), F.col(time).cast("timestamp")
@@ -72,31 +104,29 @@ def stream_timing_clusters(
     )
     whole = F.col("buyer").isNotNull() & F.col("at").isNotNull()
     output = f"buyer {by}, t long, id long, flag boolean"
-    kept = "last_t long, last_v double, t array<long>, id array<long>, v array<double>"
-
-    def of_buyer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_v, *lists = state.get if state.exists else (NEVER, 0.0, [], [], [])
-        come = list(parts)
-        rows = pd.DataFrame(
-            {
-                c: np.concatenate([np.asarray(old, kind), *[p[c].to_numpy(kind) for p in come]])
-                for c, old, kind in zip(("t", "id", "v"), lists, (np.int64, np.int64, np.float64), strict=True)
-            }
-        )
-        waiting = Waiting((last_t, last_v), rows, window, value_tolerance)
+    kept = f"last_buyer array<{by}>, last_t array<long>, last_v array<double>, buyer array<{by}>, t array<long>, id array<long>, v array<double>"
+
+    def frame(**columns) -> pd.DataFrame:
+        kinds = {"t": np.int64, "id": np.int64, "v": np.float64}
+        return pd.DataFrame({n: pd.Series(c, dtype=kinds.get(n, object)) for n, c in columns.items()})
+
+    def of_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_b, last_t, last_v, b, t, ids, v = state.get if state.exists else ([],) * 7
+        old = frame(buyer=b, t=t, id=ids, v=v)
+        come = [frame(**{c: p[c] for c in old.columns}) for p in parts]
+        waiting = Waiting(frame(buyer=last_b, t=last_t, v=last_v), pd.concat([old, *come], ignore_index=True), window, value_tolerance)
         until = state.getCurrentWatermarkMs() * 1000
         done = waiting.settled(until)
-        left = waiting.rows
-        if len(left) or waiting.last[0] + window >= until:
-            state.update((*waiting.last, left["t"].tolist(), left["id"].tolist(), left["v"].tolist()))
-            first = int(left["t"].iloc[0]) if len(left) else waiting.last[0]
-            state.setTimeoutTimestamp(max((first + window) // 1000, until // 1000) + 1)
-        else:
-            state.remove()  # nothing to come can be near the last row
-        yield pd.DataFrame({"buyer": [key[0]] * len(done), "t": done["t"], "id": done["id"], "flag": done["flag"]})
+        left, last, then = waiting.rows, waiting.last, waiting.next_time()
+        if then is not None:
+            state.update(tuple(c.tolist() for c in (last["buyer"], last["t"], last["v"], *(left[n] for n in old.columns))))
+            state.setTimeoutTimestamp(max(then // 1000, until // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield done
 
-    watched = rows.where(whole).withWatermark("at", delay).withColumn("t", F.unix_micros("at"))
-    flagged = watched.groupBy("buyer").applyInPandasWithState(of_buyer, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    watched = rows.where(whole).withWatermark("at", delay).withColumns({"t": F.unix_micros("at"), "_group": F.pmod(F.xxhash64("buyer"), F.lit(BUYER_GROUPS))})
+    flagged = watched.groupBy("_group").applyInPandasWithState(of_group, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
     others = rows.where(~whole).select("buyer", F.unix_micros("at").alias("t"), "id", F.lit(False).alias("flag"))
     return flagged.unionByName(others).select(
         F.col("buyer").alias(buyer), F.timestamp_micros("t").alias(time), F.col("id").alias(order), F.col("flag").alias("timing_cluster_flag")

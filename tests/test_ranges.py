@@ -151,3 +151,23 @@ def test_a_month_reads_its_own_folder(spark, tmp_path):
     plan = month._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     spark.sql("DROP TABLE anomalies_test")
+
+
+def test_buyers_of_a_stream_share_few_states(spark, tmp_path, monkeypatch):
+    """A state and a call for each buyer cost far more than its rows."""
+    from contractlens.streaming import timing as of_stream
+
+    monkeypatch.setattr(of_stream, "BUYER_GROUPS", 4)
+    rows = [(k, f"o{k % 50}", "p", START + dt.timedelta(minutes=k // 2), 100.0 + k % 3) for k in range(600)]
+    df = spark.createDataFrame(rows, ROWS)
+    want = {r.id: r.timing_cluster_flag for r in timing.flag_timing_clusters(df, window_minutes=60, value_tolerance=0.1).collect()}
+    for part in (rows[:200], rows[200:400], rows[400:], [(-1, "end", "p", START + dt.timedelta(days=30), 1.0)]):
+        spark.createDataFrame(part, ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.page_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
+    flagged = of_stream.stream_timing_clusters(stream, window_minutes=60, value_tolerance=0.1, delay="1 hour")
+    query = flagged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    out = {r.id: r.timing_cluster_flag for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.id >= 0}
+    assert out == want and 0 < sum(want.values()) <= len(rows)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(states) == 4 and 0 < max(states) <= 4
